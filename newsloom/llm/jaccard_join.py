@@ -14,6 +14,7 @@ left in different components.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -131,6 +132,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def linked_sets(one: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch, num: int, den: int) -> DataFrame:
+    """Components of different sets: ``one(id, n, keys, bits)`` -> ``(u, v)``, v the least id of u's component, where it isn't u.
+
+    Sets that share a key are candidates; ``sets_of(ids)`` gives the sets of some ids as ``(id, members)``.
+    """
+    # members of every key that two or more sets share, with the least of them
+    rows = one.select("id", F.explode("keys").alias("key"))
+    shared = scratch.save(rows.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").select("key", "rep"))
+    members = scratch.save(rows.join(shared, "key"))
+    sets = scratch.save(sets_of(members.select("id").distinct()))
+    first = members.where("id <> rep").groupBy("id").agg(F.min("rep").alias("v")).select(F.col("id").alias("u"), "v")
+    links = scratch.save(_verified(first, sets, num, den))
+    labels = component_labels(links, scratch)
+    more = scratch.save(_verified(cross_pairs(members, labels, one, num, den), sets, num, den))
+    for used in (shared, members, sets):
+        scratch.drop(used)
+    return component_labels(links.union(more), scratch)
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR
 ) -> DataFrame:
@@ -146,24 +166,13 @@ def jaccard_components(
     one = scratch.save(
         filled.groupBy("print", "n").agg(F.min("id").alias("id"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"))
     )
-    # members of every key that two or more sets share, with the least of them
-    rows = one.select("id", F.explode("keys").alias("key"))
-    shared = scratch.save(rows.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").select("key", "rep"))
-    members = scratch.save(rows.join(shared, "key"))
-    ids = members.select("id").distinct().withColumnRenamed("id", id_col)
     texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    sets = scratch.save(
-        _with_sets(texts.join(ids, id_col, "left_semi"), id_col, text_col, k, lambda s: [_lists(s)], "id long, members array<long>")
-        .dropDuplicates(["id"])
-    )
-    first = members.where("id <> rep").groupBy("id").agg(F.min("rep").alias("v")).select(F.col("id").alias("u"), "v")
-    links = scratch.save(_verified(first, sets, num, den))
-    labels = component_labels(links, scratch)
-    rest = cross_pairs(members, labels, one, num, den)
-    more = scratch.save(_verified(rest, sets, num, den))
-    scratch.drop(members)
-    scratch.drop(sets)
-    final = component_labels(links.union(more), scratch).select(F.col("u").alias("rep_id"), F.col("v").alias("root"))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        own = texts.join(ids.withColumnRenamed("id", id_col), id_col, "left_semi")
+        return _with_sets(own, id_col, text_col, k, lambda s: [_lists(s)], "id long, members array<long>").dropDuplicates(["id"])
+
+    final = linked_sets(one, sets_of, scratch, num, den).select(F.col("u").alias("rep_id"), F.col("v").alias("root"))
     reps = one.select(F.col("id").alias("rep_id"), "print", "n").join(final, "rep_id", "left")
     reps = reps.select("print", "n", F.coalesce("root", "rep_id").alias("root"))
     return (

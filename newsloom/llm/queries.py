@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, contamination, langid, pii, token_files
+from newsloom.llm import bpe, contamination, html_text, langid, licenses, pii, quality, substring_dedup, token_files
 from newsloom.llm.jaccard_join import jaccard_components
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no path of their own: the source is the top directory, the language the one in it."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan_licenses(docs.withColumn("path", F.concat_ws("/", part("source"), part("lang"), part("doc_id"))))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_report(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -30,10 +38,22 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_report(table(spark, sf_dir, "pages"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -43,7 +63,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_token_files, op3_language_id, op4_decontamination, op6_pii, op9_bpe, op10_ngram_jaccard_join)
+    found = (op1_license_scan, op2_token_files, op3_language_id, op4_decontamination, op5_substring_dedup, op6_pii, op7_html_extraction, op8_quality_rules, op9_bpe, op10_ngram_jaccard_join)
     return {f.__name__: f for f in found}
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -58,8 +58,9 @@ def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]
         yield start, len(lengths)
 
 
-def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a block, and per text the position of its first word (one more entry at the end)."""
+def word_places(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of a block, per text the position of its first word (one more entry at the end), the words' first and
+    past-the-last bytes in the joined block, and that block."""
     joined = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     if lower:
         joined = _LOWER[joined]
@@ -73,7 +74,12 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
     words = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     starts = np.r_[0, np.cumsum(lengths + 1)]
-    return words, np.searchsorted(begin, starts)
+    return words, np.searchsorted(begin, starts), begin, end, joined
+
+
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The first two of ``word_places``."""
+    return word_places(texts, lower)[:2]
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
