@@ -69,7 +69,8 @@ def parse_enrichment(raw: Column) -> Column:
     p = parsed(F.coalesce(body, F.lit("{}")))
     text = lambda k: F.coalesce(strip(p[k]), F.lit(""))
     names = lambda k: F.coalesce(F.from_json(p[k], "array<string>"), F.array().cast("array<string>"))
-    score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), p["sentiment"].try_cast("double")))
+    value = p["sentiment"].try_cast("double")
+    score = F.when(value.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
     label = F.lower(strip(F.coalesce(p["sentiment_label"], F.lit(""))))
     return F.struct(
         text("ai_summary").alias("ai_summary"), text("translated_title").alias("translated_title"), text("translated_summary").alias("translated_summary"),
