@@ -64,11 +64,11 @@ def longs(df: DataFrame) -> DataFrame:
  (SELECT count(*) FROM w WHERE len(list_filter(tickers, lambda x: x <> '')) > 0) AS with_tickers, (SELECT count(*) FROM w WHERE len(list_filter(sectors, lambda x: x <> '')) > 0) AS with_sectors,
  (SELECT count(*) FROM w WHERE ai_summary <> '') AS enriched, (SELECT count(*) FROM w WHERE sentiment_label = 'positive') AS positive,
  (SELECT count(*) FROM w WHERE sentiment_label = 'negative') AS negative, (SELECT count(*) FROM w WHERE sentiment_label = 'neutral') AS neutral,
- (SELECT string_agg(name || ':' || n, ',' ORDER BY n DESC, name) FROM (SELECT upper(t) AS name, count(*) AS n FROM (SELECT unnest(tickers) AS t FROM w) WHERE t <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)) AS top_tickers,
- (SELECT string_agg(name || ':' || n, ',' ORDER BY n DESC, name) FROM (SELECT t AS name, count(*) AS n FROM (SELECT unnest(sectors) AS t FROM w) WHERE t <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)) AS top_sectors
- FROM (SELECT 1)""".replace("FROM w", "FROM (SELECT a.* FROM articles a, knobs WHERE effective_published >= as_of - INTERVAL 240 HOUR)"))
+ (SELECT coalesce(string_agg(name || ':' || n, ',' ORDER BY n DESC, name), '') FROM (SELECT upper(t) AS name, count(*) AS n FROM (SELECT unnest(tickers) AS t FROM w) WHERE t <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)) AS top_tickers,
+ (SELECT coalesce(string_agg(name || ':' || n, ',' ORDER BY n DESC, name), '') FROM (SELECT t AS name, count(*) AS n FROM (SELECT unnest(sectors) AS t FROM w) WHERE t <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)) AS top_sectors
+ FROM (SELECT 1)""".replace("FROM w", "FROM (SELECT a.* FROM articles a, knobs WHERE effective_published >= as_of - INTERVAL 720 HOUR)"))
 def feed_summary(spark, d):
-    out = FE.feed_summary(V.articles(spark, d), 240, 10, V.as_of())
+    out = FE.feed_summary(V.articles(spark, d), 720, 10, V.as_of())
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["name"], s["n"].cast("string"))), ",").alias(c)
     return out.select("total", "with_tickers", "with_sectors", "enriched", "positive", "negative", "neutral", text("top_tickers"), text("top_sectors"))
 
