@@ -49,3 +49,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame, scratch: Scratch
         vertices.select("id").where("id is not null").distinct().join(labels, "id", "left")
         .select("id", F.coalesce("component", "id").alias("component"))
     )
+
+
+def component_sizes(components: DataFrame) -> DataFrame:
+    """Members of each component of ``(id, component)``."""
+    return components.groupBy("component").agg(F.count("*").alias("members"))

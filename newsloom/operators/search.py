@@ -131,3 +131,8 @@ def hybrid_search(
     return out
 
 
+
+
+def with_articles(page: DataFrame, articles: DataFrame) -> DataFrame:
+    """The page's rows with their articles' wide columns, read for these ids only."""
+    return page.join(articles, "id").orderBy("query_id", "position")

@@ -21,6 +21,7 @@ from newsloom.operators import filters as FI
 from newsloom.operators import quality as Q
 from newsloom.operators import scoring as SC
 from newsloom.operators import search as SE
+from newsloom.operators.components import component_sizes as sizes_of
 from newsloom.operators.components import connected_components
 from newsloom.plans import views as V
 from newsloom.sources import records as R
@@ -437,6 +438,11 @@ def connected_components_of_vectors(spark, d):
     return connected_components(v, e.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")))
 
 
+@query(_KNN + """SELECT component, count(*) AS members FROM (WITH RECURSIVE g AS (SELECT a_id AS u, b_id AS v FROM edges UNION ALL SELECT b_id, a_id FROM edges), r(id, c) AS (SELECT id, id FROM e UNION SELECT g.v, r.c FROM r JOIN g ON g.u = r.id WHERE r.c < g.v) SELECT id, min(c) AS component FROM r GROUP BY id) GROUP BY 1""")
+def component_sizes(spark, d):
+    return sizes_of(connected_components_of_vectors(spark, d))
+
+
 def _story_articles(spark, d):
     return V.articles(spark, d, vectors=True).where("embedding is not null")
 

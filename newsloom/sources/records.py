@@ -135,7 +135,7 @@ def raw_to_variant(df: DataFrame, column: str) -> DataFrame:
     kind = df.schema[column].dataType
     if isinstance(kind, T.StringType):
         c = F.col(column)
-        value = F.when(F.coalesce(c, F.lit("")).isin("", "{}", "[]"), None).otherwise(F.coalesce(F.try_parse_json(c), F.try_parse_json(F.get(F.array(F.to_json(F.array(c))), F.lit(0)))))
+        value = F.when(F.coalesce(c, F.lit("")).isin("", "{}", "[]"), None).otherwise(F.coalesce(F.try_parse_json(c), F.try_variant_get(F.parse_json(F.to_json(F.struct(c.alias("x")))), "$.x", "variant")))
     else:
         text = F.to_json(column)
         value = F.when(text.isin("{}", "[]"), None).otherwise(F.try_parse_json(text))
