@@ -29,7 +29,7 @@ BATCH = 32
 #: Share of the sample's rightly predicted pieces that the rejection threshold may reject, and the threshold's upper limit.
 REJECT_SHARE = 0.001
 REJECT_MOST = 0.5
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 UNKNOWN = "und"
 
 
