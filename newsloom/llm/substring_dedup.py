@@ -28,13 +28,13 @@ MIN_WORDS = 50
 BANDS, ROWS = 16, 4
 SIDE = 18
 ANCHOR = MIN_WORDS - 2 * SIDE - SHINGLE + 2
-_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 UNITS = "doc_id long, start long, end long, n_words long, print long, n long, keys array<long>, bits array<long>"
 
 
 def band_keys(s: np.ndarray) -> np.ndarray:
     """MinHash signature of a set, one key a band."""
-    least = np.concatenate([mix(s[:, None] ^ part[None, :]).min(axis=0) for part in np.split(_SEEDS, 4)]).reshape(BANDS, ROWS)
+    least = (_SEEDS[:, None] * s).min(axis=1).reshape(BANDS, ROWS)
     key = np.arange(BANDS, dtype=np.uint64)
     for i in range(ROWS):
         key = mix(key * np.uint64(31) + least[:, i])
@@ -112,18 +112,20 @@ def unit_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for a, b in blocks(batch.column(1)):
                 with np.errstate(over="ignore"):
                     block = Block(_raw(batch.column(1), a, b))
-                    lines = block.lines()
+                    lines = np.array(block.lines(), dtype=np.int64).reshape(-1, 2)
                     sets = _sets(block, lines)
                     at, hashes = block.units()
-                    first = np.array([x for x, _ in lines] + at.tolist(), dtype=np.int64)
-                    last = np.array([y for _, y in lines] + (at + 2 * SIDE + SHINGLE).tolist(), dtype=np.int64)
-                    prints = np.r_[np.array([set_print(s) for s in sets], dtype=np.uint64), hashes].astype(np.uint64).view(np.int64)
-                    none = [np.empty(0, dtype=np.uint64)] * len(at)
-                    keys, bits = _lists([band_keys(s) for s in sets] + none), _lists([bit_sketch(s) for s in sets] + none)
-                if len(first):
-                    n = np.array([len(s) for s in sets] + [0] * len(at), dtype=np.int64)
-                    cols = [ids[a:b][block.owner[first]].astype(np.int64), block.start[first], block.end[last - 1], last - first, prints, n]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, type=pa.int64()) for c in cols), keys, bits], names=names)
+                    prints = np.array([set_print(s) for s in sets], dtype=np.uint64)
+                    lists = _lists([band_keys(s) for s in sets]), _lists([bit_sketch(s) for s in sets])
+                    none = pa.nulls(len(at), lists[0].type)
+                    groups = (
+                        (lines[:, 0], lines[:, 1], prints, np.array([len(s) for s in sets], dtype=np.int64), *lists),
+                        (at, at + 2 * SIDE + SHINGLE, hashes, np.zeros(len(at), dtype=np.int64), none, none),
+                    )
+                for first, last, mark, n, keys, bits in groups:
+                    if len(first):
+                        cols = [ids[a:b][block.owner[first]].astype(np.int64), block.start[first], block.end[last - 1], last - first, mark.view(np.int64), n]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(c, type=pa.int64()) for c in cols), keys, bits], names=names)
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).where("id is not null")
     return source.mapInArrow(run, UNITS)
@@ -160,12 +162,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return _line_sets(texts, id_col, text_col).join(ids, "id", "left_semi").dropDuplicates(["id"])
 
     near = scratch.save(linked_sets(one, sets_of, scratch, NUMERATOR, DENOMINATOR))
-    spread = units.select("print", "doc_id").join(near.select(F.col("u").alias("print"), F.col("v").alias("root")), "print", "left")
-    spread = spread.select(F.coalesce("root", "print").alias("root"), "doc_id").groupBy("root").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    roots = spread.where("lo <> hi").select("root")
-    keys = one.select(F.col("id").alias("print")).join(near.select(F.col("u").alias("print"), F.col("v").alias("root")), "print").join(roots, "root").select("print", "root")
-    repeated = scratch.save(roots.select(F.col("root").alias("print"), "root").union(keys).distinct())
-    found = scratch.save(units.select("doc_id", "start", "end", "n_words", "print").join(repeated, "print").select("doc_id", "start", "end", "root").distinct())
+    # documents of each print, counted once; only repeated or near ones go on
+    mapped = near.select(F.col("u").alias("print"), F.col("v").alias("root"))
+    mapped = mapped.union(near.select("v", "v")).distinct()
+    spread = units.groupBy("print").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).join(mapped, "print", "left")
+    spread = scratch.save(spread.where("root is not null or lo <> hi").withColumn("root", F.coalesce("root", "print")))
+    roots = spread.groupBy("root").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("root")
+    repeated = scratch.save(spread.select("print", "root").join(roots, "root"))
+    found = scratch.save(units.select("doc_id", "start", "end", "print").join(repeated, "print").select("doc_id", "start", "end", "root").distinct())
     scratch.drop(units)
     # runs of overlapping pieces
     order = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "root")
