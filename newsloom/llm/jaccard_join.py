@@ -8,8 +8,8 @@ band, and a document takes part in each band in which a partner of its size can
 the exact sets. Nothing is sampled or capped, so no link is lost.
 
 Cost: about 0.37 sketch rows per distinct shingle, one shuffle. Sets that are equal are merged first, so copies cost one row each.
-Links within a group of near copies are tried with its least member first; pairs are formed only between members that this
-left in different components.
+Links within a group of near copies are tried with its least member and then with a few others first; pairs are formed only between
+members that this left in different components.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ SHINGLE = 4
 NUMERATOR, DENOMINATOR = 85, 100
 GROWTH = 1.4
 SKETCH_WORDS = 8
+REPS = 4
 
 
 def max_diff(total: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> int:
@@ -141,14 +142,18 @@ def linked_sets(one: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scrat
     rows = one.select("id", F.explode("keys").alias("key"))
     shared = scratch.save(rows.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").select("key", "rep"))
     members = scratch.save(rows.join(shared, "key"))
+    scratch.drop(shared)
     sets = scratch.save(sets_of(members.select("id").distinct()))
     first = members.where("id <> rep").groupBy("id").agg(F.min("rep").alias("v")).select(F.col("id").alias("u"), "v")
     links = scratch.save(_verified(first, sets, num, den))
-    labels = component_labels(links, scratch)
-    more = scratch.save(_verified(cross_pairs(members, labels, one, num, den), sets, num, den))
-    for used in (shared, members, sets):
+    # what the least members left apart is tried with a few more members of each key, and only then pair by pair
+    apart = scratch.save(open_members(members, component_labels(links, scratch), one))
+    more = scratch.save(links.union(_verified(rep_pairs(apart, num, den), sets, num, den)))
+    apart = scratch.save(open_members(apart.select("key", "id"), component_labels(more, scratch), one))
+    last = scratch.save(more.union(_verified(cross_pairs(apart, num, den), sets, num, den)))
+    for used in (members, sets):
         scratch.drop(used)
-    return component_labels(links.union(more), scratch)
+    return component_labels(last, scratch)
 
 
 def jaccard_components(
@@ -162,10 +167,12 @@ def jaccard_components(
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     table = scratch.save(set_table(docs, id_col, text_col, k, num, den))
+    prints = scratch.save(table.select("id", "n", "print"))
     filled = table.where("n > 0 and id is not null")
     one = scratch.save(
         filled.groupBy("print", "n").agg(F.min("id").alias("id"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"))
     )
+    scratch.drop(table)
     texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -176,23 +183,39 @@ def jaccard_components(
     reps = one.select(F.col("id").alias("rep_id"), "print", "n").join(final, "rep_id", "left")
     reps = reps.select("print", "n", F.coalesce("root", "rep_id").alias("root"))
     return (
-        table.select("id", "n", "print").join(reps, ["print", "n"], "left")
+        prints.join(reps, ["print", "n"], "left")
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "id")).otherwise(F.col("id")).alias("component_id"))
     )
 
 
-def cross_pairs(members: DataFrame, labels: DataFrame, one: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that share a key but no component yet and that size and bit sketch don't rule out."""
-    comp = members.join(labels.withColumnRenamed("u", "id").withColumnRenamed("v", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+def open_members(members: DataFrame, labels: DataFrame, one: DataFrame) -> DataFrame:
+    """``(key, id, comp, n, bits)`` of the keys whose members are in more than one component."""
+    comp = members.select("key", "id").join(labels.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_keys = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = comp.join(open_keys, "key", "left_semi").join(one.select("id", "n", "bits"), "id")
-    side = lambda x: left.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "comp", "n", "bits")))
+    return comp.join(open_keys, "key", "left_semi").join(one.select("id", "n", "bits"), "id").select("key", "id", "comp", "n", "bits")
+
+
+def near(num: int, den: int):
+    """What the sizes and bit sketches of columns a_ and b_ don't rule out, in different components."""
     differ = sum((F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-    total = F.col("a_n") + F.col("b_n")
-    near = (
-        (F.col("a_id") < F.col("b_id")) & (F.col("a_comp") != F.col("b_comp"))
-        & (den * F.least("a_n", "b_n") >= num * F.greatest("a_n", "b_n"))
-        & ((den + num) * differ <= (den - num) * total)
-    )
-    pairs = side("a").join(side("b").withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & near)
-    return pairs.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")).distinct()
+    fits = den * F.least("a_n", "b_n") >= num * F.greatest("a_n", "b_n")
+    return (F.col("a_comp") != F.col("b_comp")) & fits & ((den + num) * differ <= (den - num) * (F.col("a_n") + F.col("b_n")))
+
+
+def _side(apart: DataFrame, x: str) -> DataFrame:
+    return apart.select(F.col("key").alias(f"{x}_key"), *(F.col(c).alias(f"{x}_{c}") for c in ("id", "comp", "n", "bits")))
+
+
+def rep_pairs(apart: DataFrame, num: int, den: int) -> DataFrame:
+    """Each member of a key with ``REPS`` members of it: as many pairs as members, not as pairs of members."""
+    member = F.struct(*(F.col(c).alias(f"b_{c}") for c in ("id", "comp", "n", "bits")))
+    reps = apart.groupBy(F.col("key").alias("b_key")).agg(F.array(*(F.min_by(member, F.xxhash64("id", F.lit(s))) for s in range(REPS))).alias("reps"))
+    tried = _side(apart, "a").join(reps, F.col("a_key") == F.col("b_key")).select("a_id", "a_comp", "a_n", "a_bits", F.explode(F.array_distinct("reps")).alias("r"))
+    pairs = tried.select("a_id", "a_comp", "a_n", "a_bits", "r.*").where(near(num, den))
+    return pairs.select(F.least("a_id", "b_id").alias("u"), F.greatest("a_id", "b_id").alias("v")).distinct()
+
+
+def cross_pairs(apart: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs that still share a key but no component."""
+    on = (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & near(num, den)
+    return _side(apart, "a").join(_side(apart, "b"), on).select(F.col("a_id").alias("u"), F.col("b_id").alias("v")).distinct()
