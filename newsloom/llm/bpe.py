@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern that the vocabulary was made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHORT = 64
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 SEGMENT_CHARS = 1 << 20
 _SAFE_CUT = re.compile(r"(?<=[A-Za-z0-9.,]) (?=[A-Za-z])")
 
@@ -37,10 +37,14 @@ def byte_letters() -> dict[int, str]:
 
 
 class ByteBpe(dict):
-    """A vocabulary; as a dict, it holds the merged words: word -> ids as bytes."""
+    """A vocabulary; as a dict, it holds merged words: word -> ids as bytes.
+
+    Words live for two generations of up to ``KEPT_WORDS``: those met again while they are in the older one move to the younger.
+    """
 
     def __init__(self, path: str):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -65,6 +69,9 @@ class ByteBpe(dict):
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def __missing__(self, word: str) -> bytes:
+        if (known := self.older.get(word)) is not None:
+            self[word] = known
+            return known
         raw = word.encode("utf-8", "surrogatepass")
         ids = self.merge_short(raw) if len(raw) <= SHORT else self.merge_long(raw)
         out = b"".join([self.pack[i] for i in ids])
@@ -123,6 +130,7 @@ class ByteBpe(dict):
                 for piece in segments(part):
                     out.append(b"".join(map(self.__getitem__, self.words.findall(piece))))
         if len(self) > KEPT_WORDS:
+            self.older = dict(self)
             self.clear()
         return b"".join(out)
 
