@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern that the vocabulary was made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHORT = 64
-KEPT_WORDS = 150_000
+KEPT_WORDS = 80_000
 SEGMENT_CHARS = 1 << 20
 _SAFE_CUT = re.compile(r"(?<=[A-Za-z0-9.,]) (?=[A-Za-z])")
 
