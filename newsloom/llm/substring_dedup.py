@@ -6,8 +6,9 @@ A passage inside longer paragraphs is cut out by content: at each least shingle
 ``2 * SIDE + 5`` words is taken around it, so that any ``MIN_WORDS + 1`` words that two documents share have a unit in common. Equal units
 collide at once and need no bands.
 
-What collides is laid over each document, runs of overlapping pieces become one removal, and the removals of one component are copies
-of each other: the first by (doc_id, start) stays, the others can go.
+What collides is a class: equal units, or the lines of one component. Of each class the first piece by (doc_id, start) stays and the others can go.
+Only then are the pieces laid over each document and merged: so a long text that holds a short passage of an earlier document loses this passage
+and nothing else, and each word of an equal unit that goes is still in a piece before it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.jaccard_join import _lists, bit_sketch, linked_sets
 from newsloom.llm.shingles import _Powers, blocks, mix, shingle_hashes, word_places
-from newsloom.operators.components import component_labels
 from newsloom.scratch import Scratch
 
 SHINGLE = 5
@@ -145,9 +145,10 @@ def _line_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, start, end, n_words, group_id, n_docs, removed)``: one row per passage of a document that another document has too.
+    """``(doc_id, start, end, group_id, n_copies, removed)``: one row per passage of a document that another document has too.
 
-    Places are code points, end exclusive; ``group_id`` is equal for copies; ``removed`` is false for the first copy only.
+    Places are code points, end exclusive; a document's rows don't overlap. ``removed`` is true for what an earlier piece of its class repeats,
+    false for the rest of what is shared. ``group_id`` is the class of the passage's longest piece (equal for whole copies), ``n_copies`` its number of rows.
     Nulls, blanks and texts under ``MIN_WORDS`` words have no passages, rows with a null id are passed over, repeated rows of one id
     count as one document, and an empty table gives no rows. Repeats inside one document alone aren't reported.
     """
@@ -169,21 +170,35 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spread = scratch.save(spread.where("root is not null or lo <> hi").withColumn("root", F.coalesce("root", "print")))
     roots = spread.groupBy("root").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("root")
     repeated = scratch.save(spread.select("print", "root").join(roots, "root"))
-    found = scratch.save(units.select("doc_id", "start", "end", "print").join(repeated, "print").select("doc_id", "start", "end", "root").distinct())
+    found = scratch.save(units.select("doc_id", "start", "end", "n_words", "print").join(repeated, "print").select("doc_id", "start", "end", "n_words", "root").distinct())
     scratch.drop(units)
-    # runs of overlapping pieces
-    order = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "root")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    run = F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    laid = scratch.save(found.withColumn("reach", reach).withColumn("run", run))
-    runs = laid.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("root").alias("least"))
-    edges = laid.join(runs.select("doc_id", "run", "least"), ["doc_id", "run"]).select(F.col("root").alias("u"), F.col("least").alias("v"))
-    groups = component_labels(edges, scratch).select(F.col("u").alias("least"), F.col("v").alias("top"))
-    out = runs.join(groups, "least", "left").withColumn("group_id", F.coalesce("top", "least"))
-    lead = out.groupBy("group_id").agg(F.min(F.struct("doc_id", "start")).alias("lead"), F.count("*").alias("n_copies"))
-    return out.join(lead, "group_id").select(
-        F.col("doc_id").alias(id_col), "start", "end", "group_id", "n_copies", (F.struct("doc_id", "start") != F.col("lead")).alias("removed")
+    # of each class the first piece stays; what is removed is decided here, piece by piece, before any pieces are merged
+    lead = found.groupBy("root").agg(F.min(F.struct("doc_id", "start")).alias("lead"))
+    pieces = scratch.save(found.join(lead, "root").withColumn("removed", F.struct("doc_id", "start") != F.col("lead")).drop("lead"))
+    return _runs(pieces).select(F.col("doc_id").alias(id_col), "start", "end", "group_id", F.count("*").over(Window.partitionBy("group_id")).alias("n_copies"), "removed")
+
+
+def _runs(pieces: DataFrame) -> DataFrame:
+    """``pieces(doc_id, start, end, n_words, root, removed)`` -> ``(doc_id, start, end, group_id, removed)``, disjoint in each document."""
+    weight = F.struct("n_words", "root")
+    open_ = pieces.select(
+        "doc_id", F.col("start").alias("at"), F.lit(1).alias("step"), "removed", weight.alias("piece"), F.when(~F.col("removed"), F.struct("end", "n_words", "root")).alias("far")
+    )
+    close = pieces.select("doc_id", F.col("end").alias("at"), F.lit(-1).alias("step"), "removed", F.lit(None).alias("piece"), F.lit(None).alias("far"))
+    cut = F.when(F.col("removed"), F.col("step")).otherwise(0)
+    points = open_.union(close).groupBy("doc_id", "at").agg(
+        F.sum(cut).alias("cut"), F.sum("step").alias("all"), F.max(F.when(F.col("removed"), F.col("piece"))).alias("cut_piece"), F.max(F.when(~F.col("removed"), F.col("piece"))).alias("kept_piece"), F.max("far").alias("far")
     )
+    order = Window.partitionBy("doc_id").orderBy("at")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    state = F.when(F.sum("cut").over(so_far) > 0, 2).when(F.sum("all").over(so_far) > 0, 1).otherwise(0)
+    points = points.select("doc_id", "at", F.lead("at").over(order).alias("next"), state.alias("state"), "cut_piece", "kept_piece", F.max("far").over(so_far).alias("far"))
+    points = points.withColumn("run", F.sum(F.when(F.col("state") == F.lag("state", 1, -1).over(order), 0).otherwise(1)).over(so_far))
+    # the kept piece that reaches furthest may have begun before its run, where something is removed
+    reaching = F.when(F.col("far.end") > F.col("at"), F.struct(F.col("far.n_words").alias("n_words"), F.col("far.root").alias("root")))
+    piece = F.when(F.col("state") == 2, F.col("cut_piece")).otherwise(F.greatest("kept_piece", reaching))
+    runs = points.where("state > 0").groupBy("doc_id", "run", "state").agg(F.min("at").alias("start"), F.max("next").alias("end"), F.max(piece).alias("top"))
+    return runs.select("doc_id", "start", "end", F.col("top.root").alias("group_id"), (F.col("state") == 2).alias("removed"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -63,3 +63,27 @@ def test_cuts_and_empty(spark, planted):
     out = {r.doc_id: r.text for r in remove_repeats(df).collect()}
     assert line in out[20] and line not in out[21] and line not in out[70] and out[90] is None and out[91] == ""
     assert repeated_passages(df.limit(0)).collect() == []
+
+
+def test_short_passage_earlier_two_longer_copies_later(spark):
+    rng = random.Random(6)
+    passage, before, after = (" ".join(words(rng, n)) for n in (150, 140, 130))
+    line = " ".join(words(rng, 90))
+    rows = [(1, passage, "k"), (5, f"{before} {passage} {after}", "k"), (6, f"{before} {passage} {after}", "k")]  # inside one line
+    rows += [(11, passage[::-1], "k"), (15, f"{line}\n{passage[::-1]}\n{after[::-1]}", "k"), (16, f"{line}\n{passage[::-1]}\n{after[::-1]}", "k")]  # as lines
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = {r.doc_id: r.text for r in remove_repeats(df).collect()}
+    assert out[1] == passage and out[11] == passage[::-1]
+    assert before in out[5] and after in out[5] and len(out[5].split()) < 140 + 130 + 60
+    assert out[15].split() == (line + " " + after[::-1]).split()
+    assert len(out[6].split()) < 60 and not out[16].split()
+    spans = sorted((r.doc_id, r.start, r.end) for r in repeated_passages(df).collect())
+    assert all(a[0] != b[0] or a[2] <= b[1] for a, b in zip(spans, spans[1:]))
+
+
+def test_no_word_is_lost(spark):
+    rng = random.Random(12)
+    stock = [" ".join(words(rng, rng.randrange(52, 110))) for _ in range(12)]
+    rows = [(i, " ".join(rng.sample(stock, rng.randrange(1, 6))), "k") for i in range(60)]
+    kept = {w for r in remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect() for w in r.text.split()}
+    assert {w for _, t, _ in rows for w in t.split()} == kept
