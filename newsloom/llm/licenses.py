@@ -2,14 +2,17 @@
 
 Every line of a text is a possible header, and a short text as a whole a possible licence file. Both are compared with the
 templates as TF-IDF vectors. Document frequencies are counted over all documents for the templates' terms; a term of no template can't add to
-a dot product, and in the norm weighs as much as a term that one document has. Only lines that hold one of the templates' marking terms are compared, and each
-different line once. A file without a header of its own takes the licence of the licence file in the nearest directory above it.
+a dot product, and in the norm weighs as much as a term that one document has. Only lines that hold a marking term are compared (those that hold none can't
+reach the threshold, see ``marking_terms``), and each different line once. A file without a header of its own takes the licence of the licence file in the nearest directory above it.
 
 DataFrame functions only. What is broadcast are the templates and their terms, which the caller fixes, checked against ``MAX_TEMPLATES``.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +40,6 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights: CC0 1.0 Universal"),
     ("Proprietary", "Copyright. All rights reserved."),
 )
-#: One of these is in every notice; a line without any isn't compared.
-MARKS = ("license", "licensed", "licence", "licenced", "copyright", "redistribute", "redistribution", "permission", "cc0", "released")
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
@@ -48,11 +49,27 @@ def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
 
 
 def _terms(templates) -> list[str]:
-    import re
-
     return sorted({w for _, text in templates for w in re.findall(r"[^\W_]+", text.lower())})
 
 
+def marking_terms(templates, idf: dict[str, float], rare: float, threshold: float) -> list[str]:
+    """Terms of which any text that reaches the threshold with a template has at least one.
+
+    A cosine is at most the length of the shared part of the template over the whole template's. So of each template the commonest terms are left out
+    as long as they are together shorter than the threshold; terms that no document has (not in ``idf``) are shared by nothing.
+    """
+    marks = set()
+    for _, text in templates:
+        weight = {w: (n * idf.get(w, rare)) ** 2 for w, n in Counter(re.findall(r"[^\W_]+", text.lower())).items()}
+        room = max(0.0, threshold - 1e-6) ** 2 * sum(weight.values())  # scores are rounded to six places
+        for w in sorted(weight.keys() & idf.keys(), key=lambda w: (idf[w], w)):
+            if weight[w] < room:
+                room -= weight[w]
+            else:
+                marks.add(w)
+    return sorted(marks)
+
+
 def parents(path: Column) -> Column:
     """Directories above a path, nearest first, up to the root (an empty string)."""
     parts = F.split(F.regexp_replace(F.coalesce(path, F.lit("")), "^/+", ""), "/+")
@@ -68,7 +85,7 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, id_col: str = "doc_id",
     spark = files.sparkSession
     scratch = Scratch(spark, "licenses")
     known = _terms(templates)
-    vocab, marks = F.array(*map(F.lit, known)), F.array(*map(F.lit, MARKS))
+    vocab = F.array(*map(F.lit, known))
     held = files.select(F.col(id_col).alias("id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # document frequencies of the templates' terms over all documents
     seen = held.select(F.explode(F.array_intersect(words(F.col("text")), vocab)).alias("term"))
@@ -85,8 +102,10 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, id_col: str = "doc_id",
         tf = tf.join(F.broadcast(idf), "term", "left").crossJoin(F.broadcast(rare))
         return tf.select(key, "term", (F.col("tf") * F.coalesce("idf", "rare")).alias("x"))
 
-    # what may hold a notice, read once: marked lines, and the whole text where it is short
-    may = lambda c: F.lower(c).rlike("|".join(MARKS))
+    # what may hold a notice, read once: marked lines, and the whole text where it is short; the driver sees the templates' terms only
+    marking = marking_terms(templates, dict(idf.select("term", "idf").collect()), rare.first()["rare"], threshold)
+    marks = F.array(*map(F.lit, marking)).cast("array<string>")
+    may = lambda c: F.lower(c).rlike("|".join(marking)) if marking else F.lit(False)
     text = F.col("text")
     lines = F.filter(F.array_distinct(F.split(text, "\n")), may)
     whole = F.when(F.size(words(text)) <= FILE_WORDS, text)

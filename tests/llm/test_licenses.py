@@ -1,4 +1,9 @@
-from newsloom.llm.licenses import scan_licenses
+import math
+import random
+import re
+from collections import Counter
+
+from newsloom.llm.licenses import TEMPLATES, THRESHOLD, scan_licenses
 
 PROSE = "some words of prose that go on and on"
 
@@ -20,3 +25,35 @@ def test_headers_files_and_inheritance(spark):
     assert by[5] == by[7] == by[9] == ("CC-BY-NC-4.0", "inherited") and by[6] == ("CC-BY-NC-4.0", "file") and by[8] == by[None] == ("Apache-2.0", "inherited")
     assert scan_licenses(df.limit(0)).collect() == []
     assert {(r.license, r.via, r.score) for r in scan_licenses(df.where("doc_id = 5")).collect()} == {(None, "none", 0.0)}
+
+
+def brute(rows):
+    """Each document's best line, all lines compared with all templates."""
+    terms = lambda t: Counter(re.findall(r"[^\W_]+", t.lower()))
+    known = {w for _, t in TEMPLATES for w in terms(t)}
+    df = Counter(w for _, _, t, _ in rows for w in terms(t).keys() & known)
+    idf = lambda w: math.log((len(rows) + 1) / ((df[w] or 1) + 1)) + 1
+    vec = lambda t: {w: n * idf(w) for w, n in terms(t).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    made = [(name, vec(t)) for name, t in TEMPLATES]
+    out = {}
+    for i, _, text, _ in rows:
+        found = []
+        for v in map(vec, text.split("\n")):
+            found += [(-round(sum(x * t.get(w, 0) for w, x in v.items()) / norm(v) / norm(t), 6), name) for name, t in made if v]
+        best = min(found, default=(0, None))
+        out[i] = best[1] if -best[0] >= THRESHOLD else None
+    return out
+
+
+def test_filter_changes_no_result(spark):
+    rng = random.Random(3)
+    rows = [(i, f"d{i}/x.txt", "All rights reserved.\n" + PROSE, "k") for i in range(5)]
+    vocab = sorted({w for _, t in TEMPLATES for w in t.split()})
+    for i in range(5, 200):  # parts of notices, with other words between
+        part = [w for w in rng.choice(TEMPLATES)[1].split() if rng.random() < rng.choice((0.4, 0.7, 0.9))] + rng.sample(vocab, rng.randrange(3))
+        rows.append((i, f"d{i}/x.txt", " ".join(part) + "\n" + " ".join(rng.choices(PROSE.split() + ["the", "under", "is", "all"], k=9)), "k"))
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string, score string")).collect()}
+    want = brute(rows)
+    assert {i: r.license for i, r in got.items()} == want and all(want[i] == "Proprietary" for i in range(5))
+    assert 50 < sum(v is not None for v in want.values()) < 200
