@@ -443,8 +443,8 @@ def component_sizes(spark, d):
     return sizes_of(connected_components_of_vectors(spark, d))
 
 
-def _story_articles(spark, d):
-    return V.articles(spark, d, vectors=True).where("embedding is not null")
+def _story_articles(spark, d, whole=False):
+    return V.articles(spark, d, vectors=True, whole=whole).where("embedding is not null")
 
 
 _STORY = """, emb AS (SELECT t.id, t.last_seen_at, t.title, t.summary, t.ai_summary, t.language, t.tickers, x.embedding::DOUBLE[] AS v FROM articles t JOIN (SELECT text, min(id) AS vid FROM articles GROUP BY text) m ON m.text = t.text JOIN embeddings x ON x.vec_id = m.vid),
@@ -491,7 +491,7 @@ def clustering_stats(spark, d):
 @query()
 def cluster_param_sweep(spark, d):
     sweep = {"default": {}, "loose": {"min_overlap": 0, "min_ratio": 0.0, "min_body_jaccard": 0.0}, "strict": {"min_body_jaccard": 0.5}}
-    return longs(C.cluster_param_sweep(_story_articles(spark, d), sweep, V.as_of(), C.ClusterParams(window_days=31)))
+    return longs(C.cluster_param_sweep(_story_articles(spark, d, whole=True), sweep, V.as_of(), C.ClusterParams(window_days=31)))
 
 
 def _cases(spark, d):
@@ -551,7 +551,16 @@ post AS (SELECT id, unnest(list_concat(list_concat(ta, tb), tc)) AS term, genera
 
 @query(_POST + "SELECT term, count(*) AS n, count(DISTINCT id) AS docs, sum(pos)::BIGINT AS places, count(*) FILTER (pos <= na) AS in_title FROM post GROUP BY 1")
 def search_postings(spark, d):
-    p = SE.search_postings(V.articles(spark, d))
+    return _term_counts(V.articles(spark, d))
+
+
+@query()
+def search_postings_whole(spark, d):
+    return _term_counts(V.articles(spark, d, whole=True))
+
+
+def _term_counts(a):
+    p = SE.search_postings(a)
     return p.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("id").alias("docs"), F.sum("pos").cast("bigint").alias("places"), F.count_if(F.col("weight") == "A").alias("in_title"))
 
 
@@ -560,8 +569,18 @@ _FTS = _GROUPS + _POST + """, terms AS (SELECT query_id, group_no, unnest(terms)
 
 @query(_FTS + "SELECT query_id, id FROM fts")
 def fts_candidates(spark, d):
-    hits = SE.fts_candidates(SE.expand_queries(_queries(spark, d), _lexicon(spark)), SE.search_postings(V.articles(spark, d)))
-    return hits.select("query_id", "id").distinct()
+    return _hits(spark, d).select("query_id", "id").distinct()
+
+
+@query()
+def fts_candidates_whole(spark, d):
+    return _hits(spark, d, whole=True).select("query_id", "id").distinct()
+
+
+def _hits(spark, d, whole=False, one=False):
+    q = _queries(spark, d)
+    q = q.withColumn("text", F.col("one")) if one else q
+    return SE.fts_candidates(SE.expand_queries(q, _lexicon(spark)), SE.search_postings(V.articles(spark, d, whole=whole)))
 
 
 _ONE = _LEX + _QW + _POST + """, oterms AS (SELECT query_id, unnest(list_distinct(list_prepend(w[1], coalesce(synonyms, [])))) AS term FROM qw LEFT JOIN lex ON lex.token = w[1]),
@@ -570,18 +589,22 @@ ranks AS (SELECT query_id, id, sum(CASE WHEN pos <= na THEN 1.0::DOUBLE WHEN pos
 
 @query(_ONE + "SELECT query_id, id, round(fts_raw, 6) AS fts_raw FROM ranks")
 def single_group_rank(spark, d):
-    q = _queries(spark, d).withColumn("text", F.col("one"))
-    return SE.single_group_rank(SE.fts_candidates(SE.expand_queries(q, _lexicon(spark)), SE.search_postings(V.articles(spark, d)))).select("query_id", "id", r6("fts_raw", "fts_raw"))
+    return SE.single_group_rank(_hits(spark, d, one=True)).select("query_id", "id", r6("fts_raw", "fts_raw"))
+
+
+@query()
+def single_group_rank_whole(spark, d):
+    return SE.single_group_rank(_hits(spark, d, whole=True, one=True)).select("query_id", "id", r6("fts_raw", "fts_raw"))
 
 
 @query()
 def cover_density_rank(spark, d):
-    hits = SE.fts_candidates(SE.expand_queries(_queries(spark, d), _lexicon(spark)), SE.search_postings(V.articles(spark, d)))
+    hits = SE.fts_candidates(SE.expand_queries(_queries(spark, d), _lexicon(spark)), SE.search_postings(V.articles(spark, d, whole=True)))
     return SE.cover_density_rank(hits).select("query_id", "id", r6("fts_raw", "fts_raw"))
 
 
-def _search(spark, d, **more):
-    a = V.articles(spark, d, vectors=True)
+def _search(spark, d, whole=False, **more):
+    a = V.articles(spark, d, vectors=True, whole=whole)
     q = _queries(spark, d).withColumn("text", F.col("one"))
     return SE.hybrid_search(a, SE.search_postings(a), q, _lexicon(spark), V.as_of(), filters=FI.SearchFilter(language="en"), size=10, **more)
 
@@ -598,7 +621,16 @@ page AS (SELECT *, 0.6 * fts_score + 0.3 * cos_score + 0.1 * recency AS final_sc
 
 @query(_SEARCH + "SELECT query_id, id, round(fts_score, 6) AS fts_score, round(cos_score, 6) AS cos_score, round(final_score, 6) AS final_score, total FROM page")
 def hybrid_search(spark, d):
-    return _search(spark, d).select("query_id", "id", r6("fts_score", "fts_score"), r6("cos_score", "cos_score"), r6("final_score", "final_score"), "total")
+    return _page(_search(spark, d))
+
+
+@query()
+def hybrid_search_whole(spark, d):
+    return _page(_search(spark, d, whole=True))
+
+
+def _page(found):
+    return found.select("query_id", "id", r6("fts_score", "fts_score"), r6("cos_score", "cos_score"), r6("final_score", "final_score"), "total")
 
 
 @query(_SEARCH + "SELECT round(max(final_score), 6) AS top_score, round(avg(final_score), 6) AS mean_score, count(*) FILTER (fts_score <= 0) AS zero_fts FROM page WHERE query_id = 3")
@@ -700,7 +732,7 @@ def norm_tickers(spark, d):
 
 @query()
 def body_shingle_counts(spark, d):
-    return V.articles(spark, d).select("id", F.size(X.body_shingles(F.col("summary"))).cast("bigint").alias("shingles"))
+    return V.articles(spark, d, whole=True).select("id", F.size(X.body_shingles(F.col("summary"))).cast("bigint").alias("shingles"))
 
 
 @query()
@@ -732,7 +764,7 @@ def normalize_news_api(spark, d):
 
 @query()
 def normalize_feed_entries(spark, d):
-    a = V.articles(spark, d)
+    a = V.articles(spark, d, whole=True)
     none = F.lit(None).cast("string")
     e = a.select("title", F.col("url").alias("link"), F.array(F.struct(F.col("url").alias("href"))).alias("links"), none.alias("summary"), F.col("summary").alias("description"), F.date_format("first_seen_at", "EEE, dd MMM yyyy HH:mm:ss Z").alias("published"), none.alias("updated"), F.transform("tickers", lambda t: F.struct(t.alias("term"))).alias("tags"), F.col("source_url").alias("feed_url"))
     feeds = a.select(F.col("source_url").alias("feed_url")).distinct().withColumn("language", F.lit("en"))
@@ -803,7 +835,7 @@ def score_batch(spark, d):
 
 @query()
 def embed_batch(spark, d):
-    a = V.articles(spark, d).select("id", "title", "summary")
+    a = V.articles(spark, d, whole=True).select("id", "title", "summary")
     out = SC.embed_batch(a, SC.hashing_embedder(16), 16, "hash-16", X.embedding_text(F.col("title"), F.col("summary")))
     return out.select("id", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("embedding"))
 

@@ -21,12 +21,14 @@ def _list(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-def articles(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
+def articles(spark: SparkSession, sf_dir: str, vectors: bool = False, whole: bool = False) -> DataFrame:
+    """Articles of the documents; ``whole`` takes the whole text as summary, where the SQL's view has the first 2000 characters (200 as ai_summary)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     step = lambda n: f"make_dt_interval(0, 0, {n}, 0)"
     tags = lambda names, count, jump: f"transform(sequence(0, cast({count} - 1 as int)), k -> element_at(array({_list(names)}), cast((doc_id + {jump} * k) % {len(names)} + 1 as int)))"
+    head = lambda n: "text" if whole else f"substring(text, 1, {n})"
     out = docs.selectExpr(
-        "doc_id as id", "cast(null as bigint) as topic_id", "substring(substring_index(text, '\\n', 1), 1, 120) as title", "substring(text, 1, 2000) as summary",
+        "doc_id as id", "cast(null as bigint) as topic_id", "substring(substring_index(text, '\\n', 1), 1, 120) as title", f"{head(2000)} as summary",
         "concat('https://x.example/', md5(text)) as url", "lang as language", "source as source_url",
         f"element_at(array({_list(SOURCE_TYPES)}), cast(doc_id % 5 + 1 as int)) as source_type",
         f"{_EPOCH} + {step('(doc_id * 43) % 43200')} as first_seen_at", f"{_EPOCH} + {step('(doc_id * 43) % 43200 + doc_id % 97')} as last_seen_at",
@@ -34,7 +36,7 @@ def articles(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFra
         "case when doc_id % 17 <> 0 then ((doc_id * 7919) % 2001 - 1000) / 1000.0d end as sentiment",
         "case when doc_id % 3 <> 0 then ((doc_id * 104729) % 2001 - 1000) / 1000.0d end as llm_sentiment",
         f"case when doc_id % 4 <> 0 then {tags(TICKERS, 'doc_id % 4', 5)} end as tickers", f"case when doc_id % 3 <> 0 then {tags(SECTORS, 'doc_id % 3', 3)} end as sectors",
-        "case when doc_id % 2 = 0 then null when doc_id % 10 = 1 then '' else substring(text, 1, 200) end as ai_summary", "md5(text) as text_key",
+        f"case when doc_id % 2 = 0 then null when doc_id % 10 = 1 then '' else {head(200)} end as ai_summary", "md5(text) as text_key",
     )
     label = lambda c: F.when(F.col(c) >= 0.2, "positive").when(F.col(c) <= -0.2, "negative").when(F.col(c).isNotNull(), "neutral")
     out = out.withColumns({
