@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from newsloom.llm import html_text, langid, quality
 
 LETTERS = {"aa": "the and ing tion her", "bb": "und der sch ein keit", "cc": "que les ment eau oir"}
@@ -99,3 +101,52 @@ def test_html(spark):
     out = html_text.page_report(df).collect()
     assert sorted((r.page_id, r.text, r.n_chars) for r in out) == [(1, TEXT, len(TEXT)), (1, TEXT, len(TEXT)), (2, "", 0), (3, "", 0)]
     assert html_text.page_report(df.limit(0)).collect() == []
+
+
+def test_calibration_is_finite():
+    rng = np.random.default_rng(4)
+    cases = [
+        (np.array([-5.0, -4.0, 4.0, 5.0]), [0, 0, 1, 1]),  # parted by far
+        (np.array([1e6, 1e6 + 1, -1e6]), [1, 1, 0]),
+        (np.array([0.1, 0.2]), [1, 0]),  # the wrong way round
+        (np.array([3.0]), [1]), (np.zeros(0), []), (np.ones(50), [1] * 50), (np.ones(50), [0] * 25 + [1] * 25),
+        (np.r_[rng.normal(-30, 1, 60), rng.normal(30, 1, 400)], [0] * 60 + [1] * 400),
+        (np.r_[rng.normal(6.588, 1e-4, 60), rng.normal(6.592, 1e-4, 400)], [0] * 60 + [1] * 400),  # the scores that undamped steps diverge on
+    ]
+    for z, y in cases:
+        slope, shift = quality.platt(z, np.array(y, dtype=float))
+        p = quality.sigmoid(slope * z + shift)
+        assert np.isfinite([slope, shift]).all() and slope > 0 and ((p > 0) & (p < 1)).all()
+        # as good as a fine descent from there
+        if 0 < sum(y) < len(y) and slope != 1.0:
+            target = np.where(np.array(y) == 1, (sum(y) + 1) / (sum(y) + 2), 1 / (len(y) - sum(y) + 2))
+            loss = lambda a, b: (np.logaddexp(0, a * z + b) - target * (a * z + b)).sum()  # noqa: E731,B023
+            assert all(loss(slope, shift) <= loss(slope * f, shift + g) + 1e-3 for f in (0.99, 1, 1.01) for g in (-0.01, 0, 0.01))
+
+
+def test_scores_do_not_depend_on_the_block():
+    rng = random.Random(8)
+    texts = [prose(rng, rng.choice(list(LETTERS)), rng.randrange(0, 200)).encode() for _ in range(60)] + [b"", b"a", b"ab", b"one two", b" \n ", "é".encode()]
+    rows = []
+    with np.errstate(over="ignore"):
+        for t in texts:
+            rows.append((*quality.shares(t), len(t) % 2))
+    model = quality.fit(rows)
+    alone = [quality.probability(model, [t])[0] for t in texts]
+    for _ in range(5):
+        order = rng.sample(range(len(texts)), len(texts))
+        assert list(quality.probability(model, [texts[i] for i in order])) == [alone[i] for i in order]
+    # what is trained on is what is scored
+    raw = quality.raw_scores(model, texts)
+    assert np.allclose(raw, [model.weight[b] @ c + model.bias for b, c, _ in rows])
+
+
+def test_quality_of_odd_rows(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, "aa", 40)) for i in range(40)] + [(7, prose(rng, "bb", 40)), (7, None), (41, "x " * 400_000), (42, "y" * 3_000_000)]
+    labels = [(i, i % 2, 0) for i in range(20)] + [(3, 0, 0), (3, 1, 0), (None, 1, 0), (5, None, 0)]
+    df, ldf = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = quality.quality_report(df, ldf).collect()
+    assert len(out) == len(rows) and all(0 < r.score < 1 for r in out)
+    by = {r.doc_id: r for r in out}
+    assert by[41].n_words == by[41].n_repeat_words == 400_000 and by[42].word_chars == 3_000_000 and by[42].n_words == 1
