@@ -3,19 +3,25 @@
 A document is the set of its 4-word shingles. The sets are cut by hash into parts, and each part is reduced to the
 XOR of its shingles' hashes: the document's parity sketch. One shingle in either set but not in both changes one part,
 so the number of differing parts is never above the symmetric difference. Two sets that reach the threshold differ by at most
-``max_diff`` shingles, so with more parts than that they agree on at least one (pigeonhole). Parts are numbered per size
+``max_diff`` shingles, so with two parts more than that they agree on at least two (pigeonhole). Parts are numbered per size
 band, and a document takes part in each band in which a partner of its size can fall. The candidates are verified on
 the exact sets. Nothing is sampled or capped, so no link is lost.
 
 Cost: about 0.37 sketch rows per distinct shingle, one shuffle. Sets that are equal are merged first, so copies cost one row each.
 Links within a group of near copies are tried with its least member and then with a few others first; pairs are formed only between
-members that this left in different components.
+members that this left in different components. A part that more than ``HOT`` of these share is split by a second part that a pair agrees on.
+
+Sets are told apart by fingerprints of 128 bits: XORs of two scrambles of the shingles' hashes, and for sets of up to ``SMALL`` shingles a digest of the words in
+place of the second, as a single shingle's 64 bits would be too few: among 10^10 different short texts 2.7 pairs would meet by chance. Larger sets
+that meet would have to meet in each shingle that they don't share. Verification counts equal 64-bit hashes of two sets as equal shingles, which is wrong for
+one pair of 1000-word texts in 10^13.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +37,8 @@ NUMERATOR, DENOMINATOR = 85, 100
 GROWTH = 1.4
 SKETCH_WORDS = 8
 REPS = 4
+HOT = 200
+SMALL = 12
 
 
 def max_diff(total: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> int:
@@ -71,7 +79,7 @@ def parity_keys(s: np.ndarray, num: int = NUMERATOR, den: int = DENOMINATOR) ->
         at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         xor = np.bitwise_xor.reduceat(value, at)
         part = part[at]
-        if len(at) <= diff:  # so few filled parts that only empty ones may agree: these count too
+        if len(at) <= diff + 1:  # so few filled parts that one or none of them may agree: empty ones count too
             part = np.arange(parts, dtype=np.uint64)
             full = np.zeros(parts, dtype=np.uint64)
             full[((high * np.uint64(parts)) >> np.uint64(32))[at].astype(np.int64)] = xor
@@ -93,13 +101,29 @@ def _lists(values: list[np.ndarray], kind=pa.int64()) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64), type=kind))
 
 
+def second_print(s: np.ndarray, raw: bytes, k: int) -> int:
+    """The half of a set's fingerprint that ``set_print`` doesn't give."""
+    if len(s) > SMALL:
+        return int(np.bitwise_xor.reduce(mix(s * np.uint64(0xD1342543DE82EF95) + np.uint64(0x2545F4914F6CDD1D))))
+    w = raw.lower().split()  # bytes: A-Z and the six white-space characters alone
+    shingles = {b" ".join(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))}
+    return int.from_bytes(blake2b(b"\n".join(sorted(shingles)), digest_size=8).digest(), "little")
+
+
+def prints(sets: list[np.ndarray], raws: list[bytes], k: int) -> list[pa.Array]:
+    """Both halves of the sets' fingerprints."""
+    first = [int(np.bitwise_xor.reduce(mix(s))) ^ len(s) for s in sets]
+    second = [second_print(s, raw, k) for s, raw in zip(sets, raws, strict=True)]
+    return [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (first, second)]
+
+
 def _with_sets(docs: DataFrame, id_col: str, text_col: str, k: int, what, schema: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            for a, b, sets in text_shingles(batch.column(1), k):
+            for a, b, sets, raws in text_shingles(batch.column(1), k):
                 with np.errstate(over="ignore"):
-                    yield pa.RecordBatch.from_arrays([ids[a:b], *what(sets)], names=names)
+                    yield pa.RecordBatch.from_arrays([ids[a:b], *what(sets, raws)], names=names)
 
     names = [x.split()[0] for x in schema.split(", ")]
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
@@ -108,12 +132,11 @@ def _with_sets(docs: DataFrame, id_col: str, text_col: str, k: int, what, schema
 def set_table(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
     """Per row: id, set size, set fingerprint, sketch keys, bit sketch."""
 
-    def what(sets):
-        sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        prints = np.array([int(np.bitwise_xor.reduce(mix(s))) ^ len(s) for s in sets], dtype=np.uint64).view(np.int64)
-        return pa.array(sizes), pa.array(prints), _lists([parity_keys(s, num, den) for s in sets]), _lists([bit_sketch(s) for s in sets])
+    def what(sets, raws):
+        sizes = pa.array(np.array([len(s) for s in sets], dtype=np.int64))
+        return sizes, *prints(sets, raws, k), _lists([parity_keys(s, num, den) for s in sets]), _lists([bit_sketch(s) for s in sets])
 
-    return _with_sets(docs, id_col, text_col, k, what, "id long, n long, print long, keys array<long>, bits array<long>")
+    return _with_sets(docs, id_col, text_col, k, what, "id long, n long, print long, print2 long, keys array<long>, bits array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -133,10 +156,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def linked_sets(one: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch, num: int, den: int) -> DataFrame:
+def linked_sets(one: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch, num: int, den: int, also: DataFrame | None = None, two: bool = True) -> DataFrame:
     """Components of different sets: ``one(id, n, keys, bits)`` -> ``(u, v)``, v the least id of u's component, where it isn't u.
 
-    Sets that share a key are candidates; ``sets_of(ids)`` gives the sets of some ids as ``(id, members)``.
+    Sets that share a key are candidates; ``sets_of(ids)`` gives the sets of some ids as ``(id, members)``. ``also`` are links known before.
+    ``two`` tells that sets that link share at least two keys, so that hot keys can be split.
     """
     # members of every key that two or more sets share, with the least of them
     rows = one.select("id", F.explode("keys").alias("key"))
@@ -145,12 +169,13 @@ def linked_sets(one: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scrat
     scratch.drop(shared)
     sets = scratch.save(sets_of(members.select("id").distinct()))
     first = members.where("id <> rep").groupBy("id").agg(F.min("rep").alias("v")).select(F.col("id").alias("u"), "v")
-    links = scratch.save(_verified(first, sets, num, den))
+    links = _verified(first, sets, num, den)
+    links = scratch.save(links if also is None else links.union(also))
     # what the least members left apart is tried with a few more members of each key, and only then pair by pair
     apart = scratch.save(open_members(members, component_labels(links, scratch), one))
     more = scratch.save(links.union(_verified(rep_pairs(apart, num, den), sets, num, den)))
     apart = scratch.save(open_members(apart.select("key", "id"), component_labels(more, scratch), one))
-    last = scratch.save(more.union(_verified(cross_pairs(apart, num, den), sets, num, den)))
+    last = scratch.save(more.union(_verified(cross_pairs(apart, one if two else None, num, den), sets, num, den)))
     for used in (members, sets):
         scratch.drop(used)
     return component_labels(last, scratch)
@@ -161,31 +186,39 @@ def jaccard_components(
 ) -> DataFrame:
     """``docs`` -> ``(doc_id, n_shingles, component_id)``, one row per row of ``docs``.
 
-    Two rows link when ``den * |A & B| >= num * |A | B|``; a component's id is its least id.
-    A null or blank text has no shingles and links with nothing; rows with a null id keep a null component.
-    Repeated ids count as one document each time they appear. An empty table gives no rows; other columns are ignored.
+    Two documents link when ``den * |A & B| >= num * |A | B|``; a component's id is its least id.
+    A null or blank text has no shingles and links with nothing; rows with a null id keep a null component and link nothing.
+    Rows with one id are one document: all of them are in one component, also where their texts differ. An empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     table = scratch.save(set_table(docs, id_col, text_col, k, num, den))
-    prints = scratch.save(table.select("id", "n", "print"))
-    filled = table.where("n > 0 and id is not null")
-    one = scratch.save(
-        filled.groupBy("print", "n").agg(F.min("id").alias("id"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"))
-    )
+    rows = scratch.save(table.select("id", "n", "print", "print2"))
+    # each different set is a node; its number is unique, as ids needn't be
+    sets = table.where("n > 0 and id is not null").groupBy("print", "print2", "n")
+    sets = sets.agg(F.min("id").alias("doc"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"))
+    one = scratch.save(sets.withColumn("id", F.monotonically_increasing_id()))
     scratch.drop(table)
+    nodes = one.select("id", "doc", "print", "print2", "n")
+    filled = rows.where("n > 0 and id is not null")
+    mark = F.struct("print", "print2")
+    several = filled.groupBy("id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi").select("id")
+    own = filled.join(several, "id", "left_semi").select(F.col("id").alias("row"), "print", "print2", "n").join(nodes, ["print", "print2", "n"])
+    also = own.join(own.groupBy("row").agg(F.min("id").alias("v")), "row").where("id <> v").select(F.col("id").alias("u"), "v")
     texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        own = texts.join(ids.withColumnRenamed("id", id_col), id_col, "left_semi")
-        return _with_sets(own, id_col, text_col, k, lambda s: [_lists(s)], "id long, members array<long>").dropDuplicates(["id"])
+        asked = nodes.join(ids, "id", "left_semi")
+        found = texts.join(asked.select(F.col("doc").alias(id_col)).distinct(), id_col, "left_semi")
+        made = _with_sets(found, id_col, text_col, k, lambda s, raws: [*prints(s, raws, k), _lists(s)], "id long, print long, print2 long, members array<long>")
+        return made.drop("id").dropDuplicates(["print", "print2"]).join(asked.select("id", "print", "print2"), ["print", "print2"]).select("id", "members")
 
-    final = linked_sets(one, sets_of, scratch, num, den).select(F.col("u").alias("rep_id"), F.col("v").alias("root"))
-    reps = one.select(F.col("id").alias("rep_id"), "print", "n").join(final, "rep_id", "left")
-    reps = reps.select("print", "n", F.coalesce("root", "rep_id").alias("root"))
-    return (
-        prints.join(reps, ["print", "n"], "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "id")).otherwise(F.col("id")).alias("component_id"))
-    )
+    final = linked_sets(one.select("id", "n", "keys", "bits"), sets_of, scratch, num, den, also)
+    rooted = nodes.join(final.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = scratch.save(rooted.select("print", "print2", "n", "doc", "root"))
+    least = scratch.save(rooted.groupBy("root").agg(F.min("doc").alias("component")))
+    reps = scratch.save(rooted.join(least, "root").select("print", "print2", "n", "component"))
+    out = rows.join(reps, ["print", "print2", "n"], "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
 def open_members(members: DataFrame, labels: DataFrame, one: DataFrame) -> DataFrame:
@@ -215,7 +248,15 @@ def rep_pairs(apart: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select(F.least("a_id", "b_id").alias("u"), F.greatest("a_id", "b_id").alias("v")).distinct()
 
 
-def cross_pairs(apart: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs that still share a key but no component."""
-    on = (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & near(num, den)
-    return _side(apart, "a").join(_side(apart, "b"), on).select(F.col("a_id").alias("u"), F.col("b_id").alias("v")).distinct()
+def cross_pairs(apart: DataFrame, one: DataFrame | None, num: int, den: int) -> DataFrame:
+    """All pairs that still share a key but no component; given the keys of ``one``, members of a hot key are paired only where they share a greater key too."""
+    if one is None:
+        on = (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & near(num, den)
+        return _side(apart, "a").join(_side(apart, "b"), on).select(F.col("a_id").alias("u"), F.col("b_id").alias("v")).distinct()
+    hot = apart.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > HOT).select("key")
+    keys = one.select("id", F.explode("keys").alias("key2"))
+    split = apart.join(hot, "key", "left_semi").join(keys, "id").where("key2 > key")
+    both = apart.join(hot, "key", "left_anti").withColumn("key2", F.lit(0).cast("long")).unionByName(split)
+    side = lambda x: both.select(*(F.col(c).alias(f"{x}_{c}") for c in ("key", "key2", "id", "comp", "n", "bits")))
+    on = (F.col("a_key") == F.col("b_key")) & (F.col("a_key2") == F.col("b_key2")) & (F.col("a_id") < F.col("b_id")) & near(num, den)
+    return side("a").join(side("b"), on).select(F.col("a_id").alias("u"), F.col("b_id").alias("v")).distinct()

@@ -104,9 +104,9 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> list[np.ndar
     return out
 
 
-def text_shingles(texts: pa.Array, k: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    """Per block of rows (from, to, shingle sets); a null text has an empty set."""
+def text_shingles(texts: pa.Array, k: int) -> Iterator[tuple[int, int, list[np.ndarray], list[bytes]]]:
+    """Per block of rows (from, to, shingle sets, texts); a null text has an empty set."""
     with np.errstate(over="ignore"):
         for a, b in blocks(texts):
             part = [x or b"" for x in texts[a:b].cast(pa.binary()).to_pylist()]
-            yield a, b, shingle_hashes(*word_hashes(part), k)
+            yield a, b, shingle_hashes(*word_hashes(part), k), part
