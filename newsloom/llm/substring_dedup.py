@@ -262,18 +262,36 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = scratch.save(units.drop("n", "keys", "bits").join(repeated, "print", "left_semi"))
     scratch.drop(units)
     named = found.join(mapped, ["print", "print2"], "left").select("doc_id", "word", "n_words", "start", "end", F.coalesce("c1", "print").alias("c1"), F.coalesce("c2", "print2").alias("c2"))
-    pieces = scratch.save(_classes(scratch.save(named), scratch))
-    sure, seeds = _short_runs(pieces, scratch)
-    windows = _windows(docs, seeds, id_col, text_col).withColumnsRenamed({"print": "c1", "print2": "c2"})
-    windows = _classes(scratch.save(windows), scratch)
-    every = scratch.save(_runs(sure.unionByName(windows.select(*sure.columns))))
+    named = scratch.save(named)
+    scratch.drop(found)
+    pieces = scratch.save(_classes(named, scratch))
+    scratch.drop(named)
+    runs, seeds = _short_runs(pieces, scratch)
+    scratch.drop(pieces)
+    windows = scratch.save(_windows(docs, seeds, id_col, text_col).withColumnsRenamed({"print": "c1", "print2": "c2"}))
+    joined = scratch.save(_joined(_classes(windows, scratch)))
+    scratch.drop(windows)
+    sure = runs.where("sure").select(*joined.columns)
+    every = scratch.save(_runs(sure.unionByName(joined)))
+    for used in (runs, joined):
+        scratch.drop(used)
     copies = scratch.save(every.groupBy("c1", "c2").agg(F.count("*").alias("n_copies")))
     out = every.join(copies, ["c1", "c2"])
     return out.select(F.col("doc_id").alias(id_col), "start", "end", F.col("c1").alias("group_id"), "n_copies", "removed")
 
 
+def _joined(windows: DataFrame) -> DataFrame:
+    """Shared windows that begin at successive words of a document and stay or go alike, as one piece."""
+    order = Window.partitionBy("doc_id", "removed").orderBy("word")
+    runs = windows.withColumn("run", F.col("word") - F.dense_rank().over(order))
+    first = F.min(F.struct("word", "c1", "c2")).alias("first")
+    out = runs.groupBy("doc_id", "removed", "run").agg(first, F.max("word").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"))
+    size = F.col("last") - F.col("first.word") + WINDOW
+    return out.select("doc_id", F.col("first.word").alias("word"), size.alias("n_words"), "start", "end", F.col("first.c1").alias("c1"), F.col("first.c2").alias("c2"), "removed")
+
+
 def _short_runs(pieces: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Pieces in runs of more than ``MIN_WORDS`` words or of a paragraph, and ``(doc_id, word)`` of all units of the classes that the other runs have."""
+    """Pieces with ``sure``: whether they are in a run of more than ``MIN_WORDS`` words or of a paragraph. And ``(doc_id, word)`` of all units of the classes that the other runs have."""
     order = Window.partitionBy("doc_id").orderBy("word", "n_words")
     reach = F.max(F.col("word") + F.col("n_words"))
     last = reach.over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -282,7 +300,7 @@ def _short_runs(pieces: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
     runs = scratch.save(runs.withColumn("sure", (F.max("n_words").over(run) > UNIT) | (reach.over(run) - F.min("word").over(run) > MIN_WORDS)))
     asked = scratch.save(runs.where("not sure").select("c1", "c2").distinct())
     seeds = runs.where(F.col("n_words") == UNIT).join(asked, ["c1", "c2"], "left_semi").select("doc_id", "word")
-    return runs.where("sure").select(*pieces.columns), seeds
+    return runs, seeds
 
 
 def _runs(pieces: DataFrame) -> DataFrame:
