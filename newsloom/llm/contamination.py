@@ -6,7 +6,7 @@ these shingles that a document holds estimates how much of the item it contains.
 its shingles' worth of functions, a large one more, and each partition has the number of sketch hits below which
 an item contained to the threshold falls with a probability under ``MISS``. What passes is verified on the exact shingle sets.
 
-DataFrame functions only. Documents aren't shuffled in the search; the sketches are broadcast up to ``BROADCAST_ITEMS`` items,
+DataFrame functions only. Documents aren't shuffled in the search; sketches and item sets are broadcast up to ``BROADCAST_ROWS`` rows of either,
 beyond that both sides are shuffled by shingle.
 """
 
@@ -24,7 +24,7 @@ THRESHOLD = 0.8
 MISS = 1e-7
 #: Least size (in shingles) of each partition, and its number of hash functions.
 PARTITIONS = ((1, 24), (16, 32), (64, 40), (256, 48))
-BROADCAST_ITEMS = 20_000
+BROADCAST_ROWS = 1_000_000
 
 
 def least_hits(k: int, share: float = THRESHOLD, miss: float = MISS) -> int:
@@ -71,9 +71,9 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     """
     scratch = Scratch(docs.sparkSession, "contamination")
     item_set = scratch.save(shingles(items, item_col, text_col, "item").where("item is not null").distinct())
-    n_items = item_set.select("item").distinct().count()
-    sketch = scratch.save(item_sketches(item_set).coalesce(1) if n_items <= BROADCAST_ITEMS else item_sketches(item_set))
-    small = F.broadcast if n_items <= BROADCAST_ITEMS else (lambda x: x)
+    sketch = scratch.save(item_sketches(item_set))
+    most = max(item_set.count(), sketch.count())  # three 8-byte values a row
+    small = F.broadcast if most <= BROADCAST_ROWS else (lambda x: x)
     hits = shingles(docs.where(F.col(id_col).isNotNull()), id_col, text_col, "doc").join(small(sketch), "h")
     found = hits.groupBy("doc", "item", "need").agg(F.countDistinct("j").alias("hits")).where("hits >= need")
     candidates = scratch.save(found.select("doc", "item"))
