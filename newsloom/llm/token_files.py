@@ -2,7 +2,7 @@
 
 Documents are put in ascending id order, encoded, closed with an end id and laid end to end. Each Spark partition holds a run of
 documents and writes one Arrow IPC file: record batches of two fixed-size-list columns, ``ids`` (unsigned, 16 bit where the
-vocabulary fits and else 32) and ``mask`` (a bit per token, 1 where one is), so that sequence i is a slice of memory at a known place and needs no copy. Beside it goes a
+vocabulary fits and else 32) and ``mask`` (a bit per token, 1 where one is: bytes of eight, which ``numpy.unpackbits`` spreads), so that sequence i is a slice of memory at a known place and needs no copy. Beside it goes a
 small file with each document's place. A table of the files, written when their tasks commit, is the only index; files of lost
 task attempts are never in it.
 """
@@ -239,7 +239,8 @@ class TokenFile:
 def write_token_files(docs: DataFrame, path: str, root: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, length: int = SEQUENCE) -> DataFrame:
     """Writes one file per partition under ``root`` and returns the manifest (part, file, n_docs, n_tokens); lazily, so save it.
 
-    Null texts count as empty and leave the end id alone; rows with null ids come first; rows with one id follow each other by text.
+    Null texts count as empty and leave the end id alone; rows with null ids come first; rows with one id follow each other by a hash of the text
+    and then the text, so that one id's rows may fill several files. Repeated rows are written each.
     """
 
     def write(batches):
@@ -267,8 +268,9 @@ def write_token_files(docs: DataFrame, path: str, root: str, id_col: str = "doc_
                 x.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "file": [f"{root}/{name}"], "n_docs": pa.array([rows], pa.int64()), "n_tokens": pa.array([writer.total], pa.int64())})
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("id")
-    return ordered.sortWithinPartitions("id", "text").mapInArrow(write, "part long, file string, n_docs long, n_tokens long")
+    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    ordered = ordered.withColumn("mark", F.xxhash64("text")).repartitionByRange("id", "mark").sortWithinPartitions("id", "mark", "text")
+    return ordered.select("id", "text").mapInArrow(write, "part long, file string, n_docs long, n_tokens long")
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
