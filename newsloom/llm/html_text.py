@@ -114,16 +114,11 @@ def tally(html: str) -> tuple[Counter, Counter]:
     return inside, outside
 
 
-def weights(pages: list[str]) -> dict[str, float]:
-    """Scores by kind and name. Unknown ones: a word 1, a tag ``-TAG_BASE``."""
-    inside, outside = Counter(), Counter()
-    for html in pages:
-        a, b = tally(html)
-        inside.update(a)
-        outside.update(b)
+def scores(inside: dict[str, int], outside: dict[str, int]) -> dict[str, float]:
+    """Scores by kind and name from counts inside and outside articles. Unknown ones: a word 1, a tag ``-TAG_BASE``."""
     score = {}
     for key in inside.keys() | outside.keys():
-        odds = math.log((inside[key] + 0.5) / (outside[key] + 0.5))
+        odds = math.log((inside.get(key, 0) + 0.5) / (outside.get(key, 0) + 0.5))
         if key[0] == "w":
             score[key] = max(-WORD_LIMIT, min(WORD_LIMIT, odds))
         else:
@@ -131,24 +126,43 @@ def weights(pages: list[str]) -> dict[str, float]:
     return score
 
 
+def weights(pages: list[str]) -> dict[str, float]:
+    """Scores from some pages."""
+    inside, outside = Counter(), Counter()
+    for html in pages:
+        a, b = tally(html)
+        inside.update(a)
+        outside.update(b)
+    return scores(inside, outside)
+
+
+def best_run(values: list[float]) -> tuple[int, int]:
+    """The first contiguous run with the greatest sum, by one scan; empty where no sum is above zero."""
+    best, best_from, best_to, now, start = 0.0, 0, 0, 0.0, 0
+    for i, x in enumerate(values):
+        now += x
+        if now <= 0:
+            now, start = 0.0, i + 1
+        elif now > best:
+            best, best_from, best_to = now, start, i + 1
+    return best_from, best_to
+
+
 def main_text(html: str | None, score: dict[str, float]) -> str:
     """The best run's blocks, one a line; empty where no run scores above zero."""
     parts = tokens(html or "")
-    best, best_from, best_to, now, start = 0.0, 0, 0, 0.0, 0
-    for i, (kind, name, s, hidden, _) in enumerate(parts):
+    values = []
+    for kind, name, s, hidden, _ in parts:
         if hidden:  # left out in any case: it may lie within the article, as an advert does
-            now -= 0 if kind == "w" else HIDDEN_TAG
+            values.append(0.0 if kind == "w" else -HIDDEN_TAG)
         elif kind == "w":
-            now += len(s.split()) * score.get("w" + name, 1.0)
+            values.append(len(s.split()) * score.get("w" + name, 1.0))
         else:
-            now += score.get(kind + name, -TAG_BASE)
-        if now <= 0:
-            now, start = 0.0, i + 1
-        elif now > best:
-            best, best_from, best_to = now, start, i + 1
+            values.append(score.get(kind + name, -TAG_BASE))
+    begin, end = best_run(values)
     blocks: list[str] = []
     held: list[str] = []
-    for kind, name, s, hidden, _ in parts[best_from:best_to]:
+    for kind, name, s, hidden, _ in parts[begin:end]:
         if kind == "w":
             if not hidden:
                 held.append(s)
@@ -161,12 +175,32 @@ def main_text(html: str | None, score: dict[str, float]) -> str:
 
 
 def train(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
-    """Scores from at most ``SAMPLE_PAGES`` pages that mark their article, picked by hash of the page."""
+    """Scores from at most ``2 * SAMPLE_PAGES`` pages that mark their article, about ``SAMPLE_PAGES``, picked by hash of the page.
+
+    Pages are counted on the executors; the driver gets the sums by kind and name.
+    """
     marked = pages.select(F.col(html_col).cast("string").alias("html")).where(F.lower("html").rlike("<(article|main)[ >]"))
     n = marked.count()
-    at = F.xxhash64("html", F.lit(3)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
-    rows = marked.where(at < F.lit(min(1.0, SAMPLE_PAGES / max(n, 1)))).limit(2 * SAMPLE_PAGES).collect()
-    return weights([r["html"] for r in rows])
+    order = F.xxhash64("html", F.lit(3)).bitwiseAND(F.lit((1 << 40) - 1))
+    share = order / F.lit(float(1 << 40)) < F.lit(min(1.0, SAMPLE_PAGES / max(n, 1)))
+    # repeated pages have one hash, so a bound is needed besides: the least hashes
+    least = marked.where(share).select(order.alias("order")).groupBy("order").agg(F.count("*").alias("n")).orderBy("order").limit(2 * SAMPLE_PAGES).collect()
+    kept, room = [], 2 * SAMPLE_PAGES
+    for r in least:
+        if (room := room - r["n"]) < 0 and kept:
+            break
+        kept.append(r["order"])
+
+    def count(batches):
+        for part in batches:
+            for html in part["html"]:
+                for at, found in enumerate(tally(html)):
+                    yield pd.DataFrame({"key": list(found.keys()), "inside": [v * (at == 0) for v in found.values()], "outside": [v * (at == 1) for v in found.values()]})
+
+    own = marked.where(order.isin(kept) if kept else F.lit(False)).groupBy("html").agg(F.count("*"))  # each different page once
+    sums = own.select("html").mapInPandas(count, "key string, inside long, outside long").groupBy("key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    rows = sums.collect()
+    return scores({r["key"]: r["inside"] for r in rows}, {r["key"]: r["outside"] for r in rows})
 
 
 def page_text(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 A text's features are its character n-grams inside words, hashed into buckets. Its vector is the mean of the buckets'
 embeddings. Embeddings and softmax weights are trained by stochastic gradient descent in numpy on a bounded sample of
-labelled rows (``SAMPLE_PER_LANG`` documents a language); a fifth of the sample fits the temperature and the rejection
+labelled rows (about ``SAMPLE_PER_LANG`` documents a language); a fifth of the sample fits the temperature and the rejection
 threshold. As the model is linear in the mean, scoring sums per-bucket logits, in whole Arrow batches.
 """
 
@@ -84,12 +84,14 @@ def text_logits(model: LangModel, texts: list[str]) -> tuple[np.ndarray, np.ndar
     has = np.zeros(len(texts), dtype=bool)
     pieces: list[tuple[int, str]] = []
     for i, t in enumerate(texts):
-        while len(t) > BLOCK_CHARS:
-            cut = max(t.rfind(" ", 0, BLOCK_CHARS), t.rfind("\n", 0, BLOCK_CHARS))
-            cut = cut + 1 if cut > 0 else BLOCK_CHARS
-            pieces.append((i, t[:cut]))
-            t = t[cut:]
-        pieces.append((i, t))
+        at = 0
+        while len(t) - at > BLOCK_CHARS:  # cut after white space; a word is never cut, however long
+            cut = max(t.rfind(c, at, at + BLOCK_CHARS) for c in " \n")
+            if cut <= at:
+                cut = min((x for c in " \n" if (x := t.find(c, at + BLOCK_CHARS)) >= 0), default=len(t) - 1)
+            pieces.append((i, t[at : cut + 1]))
+            at = cut + 1
+        pieces.append((i, t[at:]))
     start, held = 0, 0
     for end in range(1, len(pieces) + 1):
         held += len(pieces[end - 1][1])
@@ -165,17 +167,27 @@ def fold(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
-    """Trains on a bounded sample, spread evenly by hash, of the documents outside fold 1 that have a text and a label."""
+    """Trains on a bounded sample, spread evenly by hash, of the documents outside fold 1 that have a text and a label.
+
+    Texts are cut on the executors: the driver gets at most ``2 * PIECES_PER_LANG`` pieces of ``PIECE_CHARS`` code points a language, however long the texts are.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where((fold("id") != 1) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = rows.groupBy("lang").count().collect()
     if not counts:
         return fit([])
-    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, SAMPLE_PER_LANG / r["count"]))) for r in counts))
-    at = (F.xxhash64("id", F.lit(17)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40)))
-    most = 2 * SAMPLE_PER_LANG * len(counts)
-    picked = rows.where(at < share).orderBy(F.xxhash64("id"), "text").limit(most).select("text", "lang").collect()
-    return fit([(r["text"], r["lang"]) for r in picked])
+    one = F.lit((1 << 40) - 1)
+    of = lambda numbers, most: F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, most / n))) for k, n in numbers.items()))
+    at = lambda *cols: F.xxhash64(*cols).bitwiseAND(one) / F.lit(float(1 << 40))
+    picked = rows.where(at("id", F.lit(17)) < of({r["lang"]: r["count"] for r in counts}, SAMPLE_PER_LANG)).where("text <> ''")
+    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE_CHARS).cast("int"))
+    sizes = picked.groupBy("lang").agg(F.sum(F.size(starts)).alias("n")).collect()
+    if not sizes:
+        return fit([])
+    pieces = picked.select("id", "lang", "text", F.explode(starts).alias("i")).where(at("id", "i", F.lit(19)) < of({r["lang"]: r["n"] for r in sizes}, PIECES_PER_LANG))
+    pieces = pieces.select("lang", F.substring("text", F.col("i") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("piece"), F.xxhash64("id", "i").alias("order"))
+    held = pieces.orderBy("order", "piece", "lang").limit(2 * PIECES_PER_LANG * len(sizes)).collect()
+    return fit([(r["piece"], r["lang"]) for r in held])
 
 
 def predict(docs: DataFrame, model: LangModel, text_col: str = "text", out_col: str = "language") -> DataFrame:
@@ -196,16 +208,25 @@ def predict(docs: DataFrame, model: LangModel, text_col: str = "text", out_col:
 
 
 def language_report(docs: DataFrame) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score``, one row per row of ``docs``. A null id is in no fold: not held out, not learned from."""
+    """``doc_id, held_out, lang_pred, score, accepted``, one row per row of ``docs``; accepted tells what calibrated rejection leaves.
+
+    A null id is in no fold: not held out, not learned from. Repeated rows are predicted alike; a tie goes to the lesser language.
+    """
     model = train(docs)
     out = predict(docs.select("doc_id", "text"), model, "text", "language")
     return out.select(
-        "doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score")
+        "doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"),
+        known(F.col("language"), model).alias("accepted"),
     )
 
 
+def known(language, model: LangModel):
+    """Whether a prediction stands: letters, and a calibrated score from the model's threshold up."""
+    return (language["lang"] != UNKNOWN) & (language["score"] >= model.threshold)
+
+
 def keep_known(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that the model rejects: no letters, or a calibrated score under its threshold."""
     model = train(docs)
     out = predict(docs, model, "text", "__language")
-    return out.where((F.col("__language.lang") != UNKNOWN) & (F.col("__language.score") >= model.threshold)).drop("__language")
+    return out.where(known(F.col("__language"), model)).drop("__language")

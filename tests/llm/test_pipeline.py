@@ -46,3 +46,23 @@ def test_stages(spark, tmp_path):
 def test_run_is_its_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 100
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    text = "the words of this text are the words that all of the rows that are to stay have in them, and then some more of them to be sure"
+    other = "quite another text of other words than those before it, written so that nothing in it is like what is in the rest of these rows"
+    rows = [(1, text, "en"), (1, text, "en"), (2, text + " now", "en"), (3, None, "en"), (4, "", None), (None, text, "en"), (None, None, None), (5, other, "en"), (5, other + " or not", "en"), (6, "12 !?", "en")]
+    df = spark.createDataFrame([(i, t, g, "src", len(t or "")) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    spark.createDataFrame([(1, other)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, d=df: stages[name](spark, d, str(tmp_path))
+    key = lambda d: sorted(((r.doc_id, r.text) for r in d.collect()), key=str)
+    assert all(t for _, t in key(run("language"))) and (None, text) in key(run("language"))
+    assert key(run("near_duplicates")) == sorted([(1, text), (3, None), (4, ""), (None, text), (None, None), (5, other), (6, "12 !?")], key=str)
+    assert key(run("contamination")) == sorted([(i, t) for i, t, _ in rows if i != 5], key=str)
+    assert key(run("private_data")) == sorted([(i, t) for i, t, _ in rows], key=str)
+    encoded = run("encoding").collect()
+    assert len(encoded) == len(rows) and {r.n_tokens for r in encoded if r.doc_id in (3, 4)} == {0}
+    for name in stages:
+        out = run(name, df.limit(0))
+        assert out.collect() == [] and (name == "encoding" or out.columns == df.columns)

@@ -150,3 +150,30 @@ def test_quality_of_odd_rows(spark):
     assert len(out) == len(rows) and all(0 < r.score < 1 for r in out)
     by = {r.doc_id: r for r in out}
     assert by[41].n_words == by[41].n_repeat_words == 400_000 and by[42].word_chars == 3_000_000 and by[42].n_words == 1
+
+
+def test_best_run_is_the_greatest_of_all_sums():
+    rng = random.Random(7)
+    for _ in range(400):
+        values = [rng.choice([rng.uniform(-3, 3), -0.3, 1.0, 0.0, -0.05]) for _ in range(rng.randrange(30))]
+        a, b = html_text.best_run(values)
+        most = max((sum(values[i:j]) for i in range(len(values)) for j in range(i + 1, len(values) + 1)), default=0.0)
+        assert abs(sum(values[a:b]) - max(most, 0.0)) < 1e-9 and (a < b) == (most > 1e-12)
+
+
+def test_pages_that_are_long_or_alike(spark):
+    body = "<p>" + "many words that are in it " * 40_000 + "</p>"
+    rows = [(i, "u", PAGE % f"<article>{BODY}</article>", 1) for i in range(1, 2000)] + [(5000, "u", PAGE % f"<article>{body}</article>", 1), (5001, "u", PAGE % f"<main>{BODY}</main>", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
+    got = {r.page_id: r for r in html_text.page_report(df).collect()}
+    assert len(got) == len(rows) and got[1].text == got[1999].text == got[5001].text == TEXT
+    assert got[5000].text == ("many words that are in it " * 40_000).strip() and got[5000].n_chars == len(got[5000].text)
+
+
+def test_language_of_repeated_and_long_rows(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, lang, 40), lang) for i, lang in enumerate(rng.choice(list(LETTERS)) for _ in range(200))]
+    rows += [rows[7], rows[7], (7, prose(rng, "cc", 40), "cc"), (900, prose(rng, "bb", 90_000), None), (901, "sch" * 200_000, None)]
+    out = langid.language_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(out) == len(rows) and {r.lang_pred for r in out if r.doc_id in (900, 901)} == {"bb"}
+    assert len({(r.lang_pred, r.score, r.accepted) for r in out if r.doc_id == 7}) == 2 and all(r.accepted is not None for r in out)
