@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one run. A written table cuts the lineage and survives a lost executor."""
+    """Tables of one run. A written table cuts the lineage and survives a lost executor. ``clear`` deletes them all, once no result reads them."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -38,5 +38,18 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a saved table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self._delete(df._scratch_path)
+
+    def clear(self) -> None:
+        """Deletes all tables of the run. With ``with Scratch(...)``, at the end of the block."""
+        self._delete(self.root)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
