@@ -15,18 +15,29 @@ def feedback_with_tags(feedback: DataFrame, articles: DataFrame) -> DataFrame:
     return feedback.join(articles.select(F.col("id").alias("news_id"), "tickers", "sectors"), "news_id")
 
 
-def user_affinity(feedback: DataFrame, articles: DataFrame, weights: dict[str, float] = WEIGHTS, prior: float = PRIOR) -> DataFrame:
-    """``(user_id, kind, tag, score)`` for all users: signed sums over the user's rows of a known action, those without tags included, plus ``prior``."""
+def affinity_sums(feedback: DataFrame, articles: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """``(user_id, kind, tag, sum)``: signed sums of a user's tags, and with an empty kind and tag the number of the user's rows of a known action, those without
+    tags included. Sums of parts of a log add up to the sums of the log."""
     known = F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(v))))
     rows = feedback_with_tags(feedback, articles).withColumn("weight", F.try_element_at(known, F.col("action"))).where("weight is not null")
     fold = lambda c: F.transform(c, lambda t: F.upper(t))
-    tags = F.concat(
-        F.transform(F.coalesce(fold("tickers"), F.array().cast("array<string>")), lambda t: F.struct(F.lit("ticker").alias("kind"), t.alias("tag"))),
-        F.transform(F.coalesce("sectors", F.array().cast("array<string>")), lambda t: F.struct(F.lit("sector").alias("kind"), t.alias("tag"))),
-    )
-    total = rows.groupBy("user_id").agg(F.count("*").alias("rows"))
-    sums = rows.select("user_id", "weight", F.explode(tags).alias("t")).where("t.tag <> ''").groupBy("user_id", "t.kind", "t.tag").agg(F.sum("weight").alias("sum"))
-    return sums.join(total, "user_id").select("user_id", "kind", "tag", (F.col("sum") / (F.col("rows") + prior)).alias("score"))
+    tag = lambda kind, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("tag")))
+    named = F.filter(F.concat(tag("ticker", fold("tickers")), tag("sector", F.col("sectors"))), lambda t: t["tag"] != "")
+    each = F.concat(F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("tag"))), named)
+    value = F.when(F.col("t.kind") == "", 1.0).otherwise(F.col("weight"))
+    return rows.select("user_id", "weight", F.explode(each).alias("t")).groupBy("user_id", "t.kind", "t.tag").agg(F.sum(value).alias("sum"))
+
+
+def affinity_scores(sums: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """``(user_id, kind, tag, score)`` from sums that may come in parts."""
+    whole = sums.groupBy("user_id", "kind", "tag").agg(F.sum("sum").alias("sum"))
+    total = whole.where("kind = ''").select("user_id", F.col("sum").alias("rows"))
+    return whole.where("kind <> ''").join(total, "user_id").select("user_id", "kind", "tag", (F.col("sum") / (F.col("rows") + prior)).alias("score"))
+
+
+def user_affinity(feedback: DataFrame, articles: DataFrame, weights: dict[str, float] = WEIGHTS, prior: float = PRIOR) -> DataFrame:
+    """``(user_id, kind, tag, score)`` for all users: signed sums over the user's rows of a known action, those without tags included, plus ``prior``."""
+    return affinity_scores(affinity_sums(feedback, articles, weights), prior)
 
 
 def affinity_snapshot(affinity: DataFrame, k: int = 5) -> DataFrame:

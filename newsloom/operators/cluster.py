@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from math import ceil
+from functools import reduce
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -28,45 +29,99 @@ class ClusterParams:
     min_body_jaccard: float = 0.15
     stopwords: dict[str, tuple[str, ...]] | None = None
     block_rows: int = 2000
+    indexed: bool = False
 
 
-def knn_edges(vectors: DataFrame, threshold: float, k: int = 30, block_rows: int = 2000) -> DataFrame:
-    """``vectors(id, embedding)`` -> ``(a_id, b_id, sim)``: per a the k most similar b with a larger id, cosine from ``threshold`` up. Exact.
+def _best(parts: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of columns (a, b, similarity) each a's k best."""
+    a, b, sim = parts
+    order = np.lexsort((b, -sim, a))
+    a, b, sim = a[order], b[order], sim[order]
+    first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]][: len(a)])
+    place = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)]))
+    return [x[place < k] for x in (a, b, sim)]
+
+
+def _unit(lists: pa.Array, rows: int) -> np.ndarray:
+    m = np.asarray(lists.flatten(), dtype=np.float64).reshape(rows, -1)
+    norm = np.linalg.norm(m, axis=1)
+    return m / np.where(norm > 0, norm, 1)[:, None]
 
-    Rows are dealt into blocks by hash, each pair of blocks is one matrix product, and only pairs over the threshold leave it.
-    """
-    held = vectors.select("id", "embedding").where("id is not null and embedding is not null")
-    blocks = max(1, ceil(held.count() / block_rows))
-    held = held.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = held.withColumn("o", other).select(F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "id", "embedding")
+
+def _products(dealt: DataFrame, by: tuple[str, ...], threshold: float, k: int) -> DataFrame:
+    """``dealt(*by, x, y, b, id, embedding)`` -> pairs over the threshold of each group's blocks x and y, as one matrix product a group."""
 
     def product(t: pa.Table) -> pa.Table:
         ids, b = t["id"].to_numpy(), t["b"].to_numpy()
-        lists = t["embedding"].combine_chunks()
-        m = np.asarray(lists.flatten(), dtype=np.float64).reshape(len(ids), -1)
-        norm = np.linalg.norm(m, axis=1)
-        m = m / np.where(norm > 0, norm, 1)[:, None]
+        m = _unit(t["embedding"].combine_chunks(), len(ids))
         low, high = int(t["x"][0].as_py()), int(t["y"][0].as_py())
         left, right = np.flatnonzero(b == low), np.flatnonzero(b == high)
-        u, v, s = [], [], []
+        held = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)]
         for a in range(0, len(left), 512):
             part = left[a : a + 512]
             sim = m[part] @ m[right].T
             i, j = np.nonzero(sim >= threshold - 1e-12)
             p, q = ids[part[i]], ids[right[j]]
             keep = (p != q) if low != high else (p < q)
-            u.append(np.minimum(p, q)[keep])
-            v.append(np.maximum(p, q)[keep])
-            s.append(sim[i, j][keep])
-        cat = lambda xs, kind: np.concatenate(xs) if xs else np.empty(0, kind)
-        return pa.table({"a_id": cat(u, np.int64), "b_id": cat(v, np.int64), "sim": cat(s, np.float64)})
+            found = [np.minimum(p, q)[keep], np.maximum(p, q)[keep], sim[i, j][keep]]
+            held = _best([np.concatenate([x, y]) for x, y in zip(held, found, strict=True)], k)  # so at most k an article are held, however alike the articles are
+        return pa.table(dict(zip(("a_id", "b_id", "sim"), held, strict=True)))
+
+    return dealt.groupBy(*by, "x", "y").applyInArrow(product, "a_id long, b_id long, sim double")
+
 
-    pairs = dealt.groupBy("x", "y").applyInArrow(product, "a_id long, b_id long, sim double")
+def _dealt(held: DataFrame, blocks: Column) -> DataFrame:
+    """Each row once for every pair of blocks that its own is in, blocks dealt by hash of the id."""
+    held = held.withColumn("b", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    return held.withColumn("x", F.least("b", "o")).withColumn("y", F.greatest("b", "o")).drop("o")
+
+
+def _top(pairs: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("sim"), "b_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
+def knn_edges(vectors: DataFrame, threshold: float, k: int = 30, block_rows: int = 2000) -> DataFrame:
+    """``vectors(id, embedding)`` -> ``(a_id, b_id, sim)``: per a the k most similar b with a larger id, cosine from ``threshold`` up. Exact.
+
+    Rows are dealt into blocks by hash, each pair of blocks is one matrix product, and of each article only its k best over the threshold leave it.
+    The work is that of all pairs; ``knn_edges_indexed`` is for large windows.
+    """
+    held = vectors.select("id", "embedding").where("id is not null and embedding is not null")
+    return _top(_products(_dealt(held, F.lit(max(1, ceil(held.count() / block_rows)))), (), threshold, k), k)
+
+
+def knn_edges_indexed(vectors: DataFrame, threshold: float, k: int = 30, block_rows: int = 2000, recall: float = 0.97, seed: int = 7) -> DataFrame:
+    """As ``knn_edges``, but compares only vectors on the same sides of some random planes: a pair at the threshold is met with probability ``recall``, a closer one with more.
+
+    Each of several bands has as many planes as make a bucket of about ``block_rows`` rows, and there are as many bands as the recall asks. All rows are in every band. A bucket that is
+    larger is dealt into blocks like a table of its own, so no group grows with the data. Similarities are exact.
+    """
+    held = vectors.select("id", "embedding").where("id is not null and embedding is not null")
+    bits = max(2, ceil(log2(max(1, held.count() / block_rows))))
+    met = (1 - acos(max(-1.0, min(1.0, threshold))) / pi) ** bits
+    bands = max(1, ceil(log(1 - recall) / log(1 - met))) if met < 1 else 1
+
+    def sides(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                m = _unit(part.column("embedding"), part.num_rows)
+                planes = np.random.default_rng(seed).normal(size=(m.shape[1], bits * bands))
+                side = (m @ planes > 0).reshape(part.num_rows, bands, bits)
+                key = (side * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
+                rows = pa.array(np.repeat(np.arange(part.num_rows), bands))
+                band = pa.array(np.tile(np.arange(bands, dtype=np.int64), part.num_rows))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(rows), band, pa.array(key.ravel()), part.column("embedding").take(rows)], names=["id", "band", "key", "embedding"])
+
+    kind = "array<double>" if "double" in held.schema["embedding"].dataType.simpleString() else "array<float>"
+    told = held.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast(kind).alias("embedding")).mapInArrow(sides, f"id long, band long, key long, embedding {kind}")
+    large = told.groupBy("band", "key").agg(F.ceil(F.count("*") / block_rows).alias("blocks")).where("blocks > 1")
+    told = told.join(large, ["band", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    pairs = _products(_dealt(told, F.col("blocks")).drop("blocks"), ("band", "key"), threshold, k)
+    return _top(pairs.groupBy("a_id", "b_id").agg(F.max("sim").alias("sim")), k)
+
+
 def pair_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """``pairs(a_id, b_id)`` with the cosine of their vectors."""
     side = lambda x: vectors.select(F.col("id").alias(f"{x}_id"), F.col("embedding").alias(f"__{x}"))
@@ -123,7 +178,7 @@ def cluster_articles(df: DataFrame, as_of: Column, p: ClusterParams = ClusterPar
     """Assignments of all articles of the window that have a vector."""
     scratch = Scratch(df.sparkSession, "stories")
     recent = scratch.save(recent_window(df, "last_seen_at", p.window_days, "days", as_of).where("embedding is not null").select("id", "title", "summary", "ai_summary", "language", "tickers", "last_seen_at", "embedding"))
-    edges = knn_edges(recent, p.threshold, p.knn, p.block_rows)
+    edges = (knn_edges_indexed if p.indexed else knn_edges)(recent, p.threshold, p.knn, p.block_rows)
     kept = scratch.save(edge_verdicts(edges, recent, p).where("reason is null"))
     return assignments(recent, kept, scratch)
 
@@ -134,12 +189,16 @@ def clustering_stats(verdicts: DataFrame, assigned: DataFrame) -> DataFrame:
     return a.crossJoin(F.broadcast(v))  # one row each
 
 
-def apply_assignments(articles: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Overwrites the cluster columns of the assigned articles and leaves the others."""
+def apply_assignments(articles: DataFrame, assigned: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Overwrites the cluster columns of the assigned articles and leaves the others; given ``as_of``, updated_at follows where one of them changes."""
     cols = ("cluster_rep_id", "cluster_size", "similarity_to_rep")
     a = assigned.select("id", F.lit(True).alias("__hit"), *(F.col(c).alias(f"__{c}") for c in cols))
     out = articles.join(a, "id", "left")
-    return out.select(*(F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in articles.columns))
+    new = {c: F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in cols}
+    if as_of is not None and "updated_at" in articles.columns:
+        changed = reduce(lambda x, y: x | y, (~F.col(c).eqNullSafe(F.col(f"__{c}")) for c in cols))
+        new["updated_at"] = F.when(F.col("__hit") & changed, as_of).otherwise(F.col("updated_at")).alias("updated_at")
+    return out.select(*(new.get(c, F.col(c)) for c in articles.columns))
 
 
 def cluster_param_sweep(df: DataFrame, sweep: dict[str, dict], as_of: Column, p: ClusterParams = ClusterParams()) -> DataFrame:

@@ -20,22 +20,8 @@ def split_new_existing(batch: DataFrame, existing: DataFrame) -> tuple[DataFrame
     return batch.join(known, "url", "left_anti"), batch.join(known, "url", "left_semi")
 
 
-def upsert_articles(existing: DataFrame, batch: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """First writer wins: a known URL only bumps hit_count, last_seen_at and updated_at, once a batch.
-
-    ``batch`` has records and an arrival ``position``; its own repeats are dropped first. Returns the new table and the counts
-    (inserted, updated), updated counting every batch row of a known URL. New ids follow the greatest one.
-    """
-    seen = batch.groupBy("url").agg(F.count("*").alias("rows"))
-    bumped = existing.join(seen.select("url", F.lit(True).alias("hit")), "url", "left")
-    known = bumped.select(
-        *(
-            F.when(F.col("hit"), F.coalesce(F.col("hit_count"), F.lit(0)) + 1).otherwise(F.col("hit_count")).cast("int").alias(c) if c == "hit_count"
-            else F.when(F.col("hit"), as_of).otherwise(F.col(c)).alias(c) if c in ("last_seen_at", "updated_at")
-            else F.col(c)
-            for c in existing.columns
-        )
-    )
+def new_articles(existing: DataFrame, batch: DataFrame, as_of: Column, schema) -> DataFrame:
+    """The batch's articles of unknown URLs, the first of each, as rows of ``schema``. Reads ``url`` and ``id`` of ``existing`` only; new ids follow the greatest one."""
     fresh = distinct_urls(batch.join(existing.select("url"), "url", "left_anti"), [F.col("position")])
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     # ids without a single-partition window: a number within each hash bucket, and the buckets' offsets (a fixed number of rows)
@@ -46,13 +32,33 @@ def upsert_articles(existing: DataFrame, batch: DataFrame, as_of: Column) -> tup
     held = held.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("position", "url")))
     new = held.join(F.broadcast(base), "__b").crossJoin(F.broadcast(top))  # at most 256 rows, and one row
     given = {"id": F.col("top") + F.col("__base") + F.col("__r"), "first_seen_at": as_of, "last_seen_at": as_of, "created_at": as_of, "updated_at": as_of, "hit_count": F.lit(1), "llm_enrich_attempts": F.lit(0), "cluster_size": F.lit(1)}
-    kinds = {f.name: f.dataType for f in existing.schema}
     value = lambda c: given[c] if c in given else F.col(c) if c in fresh.columns else F.lit(None)
-    inserts = new.select(*(value(c).cast(kinds[c]).alias(c) for c in existing.columns))
+    return new.select(*(value(f.name).cast(f.dataType).alias(f.name) for f in schema))
+
+
+def bumped_articles(articles: DataFrame, bumps: DataFrame) -> DataFrame:
+    """``articles`` with ``bumps(url, hits, at)``, one row a URL, laid over: hit_count grows, last_seen_at and updated_at follow."""
+    out = articles.join(bumps.select("url", "hits", "at"), "url", "left")
+    return out.select(*(
+        F.when(F.col("hits").isNotNull(), F.coalesce(F.col("hit_count"), F.lit(0)) + F.col("hits")).otherwise(F.col("hit_count")).cast("int").alias(c) if c == "hit_count"
+        else F.coalesce("at", c).alias(c) if c in ("last_seen_at", "updated_at")
+        else F.col(c)
+        for c in articles.columns
+    ))
+
+
+def upsert_articles(existing: DataFrame, batch: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """First writer wins: a known URL only bumps hit_count, last_seen_at and updated_at, once a batch.
+
+    ``batch`` has records and an arrival ``position``; its own repeats are dropped first. Returns the new table and the counts
+    (inserted, updated), updated counting every batch row of a known URL. New ids follow the greatest one.
+    """
+    seen = batch.groupBy("url").agg(F.count("*").alias("rows"))
+    known = bumped_articles(existing, seen.select("url", F.lit(1).alias("hits"), as_of.alias("at")))
     counts = seen.join(existing.select("url", F.lit(True).alias("hit")), "url", "left").agg(
         F.count_if(F.col("hit").isNull()).alias("inserted"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("rows"))), F.lit(0)).alias("updated")
     )
-    return known.unionByName(inserts), counts
+    return known.unionByName(new_articles(existing, batch, as_of, existing.schema)), counts
 
 
 def batch_hits(runs: DataFrame) -> DataFrame:

@@ -147,9 +147,9 @@ def feed_health(entries: DataFrame, as_of: Column, first: int = 40, hours: int =
     return out.withColumn("ok", well).withColumn("reason", F.when(well, "ok").when(F.col("entries") < 3, "few_entries").otherwise("stale"))
 
 
-def page_score_stats(page: DataFrame) -> DataFrame:
-    """Of a page of search results: top and mean score, rows without a text score, and whether the first three have none."""
-    return page.agg(
+def page_score_stats(page: DataFrame, *by: str) -> DataFrame:
+    """Of a page of search results, or of each query's: top and mean score, rows without a text score, and whether the first three have none."""
+    return page.groupBy(*by).agg(
         F.max("final_score").alias("top_score"), F.round(F.avg("final_score"), 6).alias("mean_score"), F.count_if(F.col("fts_score") <= 0).alias("zero_fts"),
         F.coalesce(F.bool_and(F.when(F.col("position") <= 3, F.col("fts_score") <= 0)), F.lit(False)).alias("top3_zero_fts"),
     )

@@ -42,25 +42,29 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
 
 
 def score_batch(df: DataFrame, scorer: Callable | dict[str, Callable], text_col: str = "title", by: str = "language", batch: int = 32) -> DataFrame:
-    """Adds score, label and confidence. ``scorer`` may be one function or one a language; blank and failed rows are neutral."""
+    """Adds score, label, confidence and failed. ``scorer`` may be one function or one a language; blank and failed rows are neutral, and failed tells them apart."""
 
-    @F.pandas_udf("score double, label string, confidence double")
+    @F.pandas_udf("score double, label string, confidence double, failed boolean")
     def run(texts: pd.Series, routes: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"score": 0.0, "label": "neutral", "confidence": 1.0}, index=texts.index)
+        n = len(texts)
+        score, label, sure, failed = np.zeros(n), np.full(n, "neutral", dtype=object), np.ones(n), np.zeros(n, dtype=bool)
+        held = texts.to_numpy(dtype=object)
+        some = np.fromiter((isinstance(t, str) and bool(t.strip()) for t in held), dtype=bool, count=n)
         for route in routes.unique():
             fn = scorer.get(route) if isinstance(scorer, dict) else scorer
-            rows = [i for i in texts.index[routes == route] if isinstance(texts[i], str) and texts[i].strip()]
+            rows = np.flatnonzero(some & (routes == route).to_numpy())
             for a in range(0, len(rows) if fn else 0, batch):
                 part = rows[a : a + batch]
                 try:
-                    for i, r in zip(part, fn([texts[i] for i in part]), strict=True):
-                        out.loc[i] = [float(r["score"]), r["label"], float(r["confidence"])]
+                    found = fn(held[part].tolist())
+                    values = [r["score"] for r in found], [r["label"] for r in found], [r["confidence"] for r in found]
+                    score[part], label[part], sure[part] = values
                 except Exception:  # noqa: BLE001  a failed call leaves its rows neutral
-                    continue
-        return out
+                    score[part], label[part], sure[part], failed[part] = 0.0, "neutral", 1.0, True
+        return pd.DataFrame({"score": score, "label": label, "confidence": sure, "failed": failed})
 
     route = F.coalesce(F.when(F.col(by) != "", F.col(by)), F.lit("en"))
-    return df.withColumn("__s", run(F.col(text_col), route)).select("*", "__s.score", "__s.label", "__s.confidence").drop("__s")
+    return df.withColumn("__s", run(F.col(text_col), route)).select("*", "__s.score", "__s.label", "__s.confidence", "__s.failed").drop("__s")
 
 
 def embed_batch(df: DataFrame, embedder: Callable, dim: int, model_id: str, text: Column, only_null: bool = False, batch: int = 64) -> DataFrame:

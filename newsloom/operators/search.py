@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-
-import math
-
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.score import cosine, hybrid_score, recency
+from newsloom.functions.score import hybrid_score, recency
 from newsloom.functions.text import query_tokens
 from newsloom.operators.affinity import with_boost
 from newsloom.operators.filters import SearchFilter, representatives_only, search_filters
@@ -18,6 +18,8 @@ from newsloom.operators.feed import exclude_dismissed
 #: Weights of the fields A, B and C in the rank, and the least cosine of a candidate without a text match.
 FIELD_WEIGHT = {"A": 1.0, "B": 0.4, "C": 0.2}
 MIN_COSINE = 0.5
+#: Bound of the query table, whose vectors go to every executor.
+MAX_QUERIES = 10_000
 WORD = r"(?U)[^\p{Alnum}]+"
 
 
@@ -34,12 +36,18 @@ def search_postings(df: DataFrame, stem=lambda c: c, stopwords: tuple[str, ...]
     """``(id, term, pos, weight, n_pos)``: title A, summary B, ai_summary C, positions running on from field to field."""
     tokens = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), WORD), lambda w: w != "")
     t = df.select("id", tokens("title").alias("a"), tokens("summary").alias("b"), tokens("ai_summary").alias("c"))
-    part = lambda c, mark, offset: F.transform(F.col(c), lambda w, i: F.struct(w.alias("term"), (i + 1 + offset).alias("pos"), F.lit(mark).alias("weight")))
-    sizes = (F.lit(0), F.size("a"), F.size("a") + F.size("b"))
-    every = F.concat(part("a", "A", sizes[0]), part("b", "B", sizes[1]), part("c", "C", sizes[2]))
-    kept = F.filter(every, lambda x: ~x["term"].isin(*stopwords)) if stopwords else every
-    out = t.select("id", kept.alias("p")).select("id", F.explode("p").alias("p"), F.size("p").alias("n_pos"))
-    return out.select("id", stem(F.col("p.term")).alias("term"), F.col("p.pos").alias("pos"), F.col("p.weight").alias("weight"), "n_pos")
+    t = t.select("id", F.concat("a", "b", "c").alias("all"), F.size("a").alias("na"), (F.size("a") + F.size("b")).alias("nb"))
+    stopped = F.col("term").isin(*stopwords) if stopwords else F.lit(False)
+    number = F.size(F.filter("all", lambda w: ~w.isin(*stopwords))) if stopwords else F.size("all")
+    # an outer explode: from an inner one Catalyst infers a filter that splits each text once more
+    out = t.select("id", "na", "nb", number.alias("n_pos"), F.posexplode_outer("all").alias("i", "term")).where(F.col("term").isNotNull() & ~stopped)
+    weight = F.when(F.col("i") < F.col("na"), "A").when(F.col("i") < F.col("nb"), "B").otherwise("C")
+    return out.select("id", stem(F.col("term")).alias("term"), (F.col("i") + 1).alias("pos"), weight.alias("weight"), "n_pos")
+
+
+def renewed_postings(postings: DataFrame, changed: DataFrame, **how) -> DataFrame:
+    """``postings`` after the articles of ``changed`` were written: theirs are made anew, the others stay."""
+    return postings.join(changed.select("id").distinct(), "id", "left_anti").unionByName(search_postings(changed, **how))
 
 
 def fts_candidates(expanded: DataFrame, postings: DataFrame) -> DataFrame:
@@ -81,15 +89,60 @@ def covers(positions: list[tuple[int, int, str]], groups: int) -> float:
 
 
 def cover_density_rank(hits: DataFrame) -> DataFrame:
-    """``(query_id, id, fts_raw)`` for queries of any number of groups. One group needs no Python; a document's hits of one query are one task's group."""
+    """``(query_id, id, fts_raw)`` for queries of any number of groups. One group needs no Python; of more, each document's sorted hits are ranked in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def rank(hits: pd.Series, groups: pd.Series, size: pd.Series) -> pd.Series:
+        value = [covers([(h["pos"], h["group_no"], h["weight"]) for h in part], int(n)) for part, n in zip(hits, groups, strict=True)]
+        return pd.Series(value, dtype="float64") / (1 + np.log(size.astype("float64")))
+
+    place = F.sort_array(F.collect_set(F.struct("pos", "group_no", "weight")))  # hits of one document
+    many = hits.where("n_groups > 1").groupBy("query_id", "id").agg(place.alias("hits"), F.max("n_groups").alias("groups"), F.max("n_pos").alias("size"))
+    return single_group_rank(hits).unionByName(many.select("query_id", "id", rank("hits", "groups", "size").alias("fts_raw")))
 
-    def rank(t: pa.Table) -> pa.Table:
-        rows = sorted(set(zip(t["pos"].to_pylist(), t["group_no"].to_pylist(), t["weight"].to_pylist(), strict=True)))
-        value = covers(rows, t["n_groups"][0].as_py()) / (1 + math.log(t["n_pos"][0].as_py()))
-        return pa.table({"query_id": t["query_id"].slice(0, 1), "id": t["id"].slice(0, 1), "fts_raw": [value]})
 
-    many = hits.where("n_groups > 1").groupBy("query_id", "id").applyInArrow(rank, "query_id long, id long, fts_raw double")
-    return single_group_rank(hits).unionByName(many)
+def query_matrix(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted query ids, and their unit vectors as rows; a missing vector is zeros. Refuses more than ``MAX_QUERIES``."""
+    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").limit(MAX_QUERIES + 1).collect()
+    if len(rows) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries; ask them in parts")
+    rows.sort(key=lambda r: r["query_id"])
+    size = max((len(r["vector"]) for r in rows if r["vector"] is not None), default=1)
+    q = np.array([r["vector"] if r["vector"] is not None else [0.0] * size for r in rows], dtype=np.float64).reshape(-1, size)
+    norm = np.linalg.norm(q, axis=1)
+    return np.array([r["query_id"] for r in rows], dtype=np.int64), q / np.where(norm > 0, norm, 1)[:, None]
+
+
+def candidates(pool: DataFrame, text: DataFrame, queries: DataFrame) -> DataFrame:
+    """``pool(id, last_seen_at, embedding)``, ``text(query_id, id, fts_raw)`` -> ``(query_id, id, last_seen_at, fts_raw, cos_score)``.
+
+    A pair is a candidate by its text or by a cosine of ``MIN_COSINE``. Each article meets all queries at once, as a row of a matrix product.
+    """
+    ids, matrix = query_matrix(queries)
+    hits = text.groupBy("id").agg(F.collect_list(F.struct(F.col("query_id").cast("long").alias("query_id"), "fts_raw")).alias("hits"))  # at most one a query
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                lists = part.column("embedding")
+                rows = np.flatnonzero(np.asarray(pc.is_valid(lists)))
+                cos = np.zeros((part.num_rows, len(ids)))
+                if len(rows):
+                    m = np.asarray(pc.list_flatten(lists), dtype=np.float64).reshape(len(rows), -1)
+                    norm = np.linalg.norm(m, axis=1)
+                    cos[rows] = (m / np.where(norm > 0, norm, 1)[:, None]) @ matrix.T
+                found = part.column("hits")
+                fts, is_text = np.zeros(cos.shape), np.zeros(cos.shape, dtype=bool)
+                flat = pc.list_flatten(found)
+                at = np.asarray(pc.list_parent_indices(found)), np.searchsorted(ids, np.asarray(flat.field("query_id")))
+                fts[at], is_text[at] = np.asarray(flat.field("fts_raw")), True
+                i, j = np.nonzero(is_text | (cos >= MIN_COSINE - 1e-12))
+                cols = [pa.array(ids[j]), part.column("id").take(pa.array(i)), part.column("last_seen_at").take(pa.array(i)), pa.array(fts[i, j]), pa.array(np.maximum(cos[i, j], 0.0))]
+                yield pa.RecordBatch.from_arrays(cols, names=["query_id", "id", "last_seen_at", "fts_raw", "cos_score"])
+
+    met = pool.join(hits, "id", "left").select(F.col("id").cast("long").alias("id"), "last_seen_at", "embedding", "hits")
+    return met.mapInArrow(run, "query_id long, id long, last_seen_at timestamp, fts_raw double, cos_score double")
 
 
 def hybrid_search(
@@ -107,17 +160,12 @@ def hybrid_search(
         pool = pool.where(representatives_only())
     if hide_dismissed and feedback is not None and user is not None:
         pool = exclude_dismissed(pool, feedback, user)
-    narrow = pool.select("id", "last_seen_at", "embedding")
     text = rank(fts_candidates(expand_queries(queries, lexicon), postings))
-    asked = queries.select("query_id", "vector").where("vector is not null")
-    near = narrow.where("embedding is not null").join(F.broadcast(asked) if asked.count() <= 10_000 else asked)  # a stated query set against all rows
-    near = near.withColumn("cos", cosine(F.col("embedding"), F.col("vector"))).where(F.col("cos") >= MIN_COSINE).select("query_id", "id")
-    found = text.select("query_id", "id").unionByName(near).distinct()
-    rows = found.join(narrow, "id").join(text, ["query_id", "id"], "left").join(queries.select("query_id", "vector"), "query_id")
-    rows = rows.withColumn("cos_score", F.greatest(F.lit(0.0), F.coalesce(cosine(F.col("embedding"), F.col("vector")), F.lit(0.0))))
-    rows = rows.withColumn("recency", recency(F.col("last_seen_at"), as_of)).withColumn("fts_raw", F.coalesce("fts_raw", F.lit(0.0))).drop("embedding", "vector")
+    rows = candidates(pool.select("id", "last_seen_at", "embedding"), text, queries)
+    rows = rows.withColumn("recency", recency(F.col("last_seen_at"), as_of))
     top = rows.groupBy("query_id").agg(F.max("fts_raw").alias("best"), F.count("*").alias("total"))
-    rows = rows.join(top, "query_id").withColumn("fts_score", F.when(F.col("best") > 0, F.col("fts_raw") / F.col("best")).otherwise(F.lit(0.0)))
+    # a page's rows are the best of its query by the sum with the text score over its maximum: one small row a query
+    rows = rows.join(F.broadcast(top), "query_id").withColumn("fts_score", F.when(F.col("best") > 0, F.col("fts_raw") / F.col("best")).otherwise(F.lit(0.0)))
     rows = rows.withColumn("final_score", hybrid_score(F.col("fts_score"), F.col("cos_score"), F.col("recency"), weights))
     order = Window.partitionBy("query_id").orderBy(F.desc("final_score"), F.desc("id"))
     size = max(1, min(100, size))
@@ -131,8 +179,6 @@ def hybrid_search(
     return out
 
 
-
-
 def with_articles(page: DataFrame, articles: DataFrame) -> DataFrame:
     """The page's rows with their articles' wide columns, read for these ids only."""
     return page.join(articles, "id").orderBy("query_id", "position")

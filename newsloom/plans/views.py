@@ -21,14 +21,13 @@ def _list(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-def articles(spark: SparkSession, sf_dir: str, vectors: bool = False, whole: bool = False) -> DataFrame:
-    """Articles of the documents; ``whole`` takes the whole text as summary, where the SQL's view has the first 2000 characters (200 as ai_summary)."""
+def articles(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
+    """Articles of the documents: the text is the summary, its first line the title, its last line the ai_summary (of every other article)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     step = lambda n: f"make_dt_interval(0, 0, {n}, 0)"
     tags = lambda names, count, jump: f"transform(sequence(0, cast({count} - 1 as int)), k -> element_at(array({_list(names)}), cast((doc_id + {jump} * k) % {len(names)} + 1 as int)))"
-    head = lambda n: "text" if whole else f"substring(text, 1, {n})"
     out = docs.selectExpr(
-        "doc_id as id", "cast(null as bigint) as topic_id", "substring(substring_index(text, '\\n', 1), 1, 120) as title", f"{head(2000)} as summary",
+        "doc_id as id", "cast(null as bigint) as topic_id", "substring_index(text, '\\n', 1) as title", "text as summary",
         "concat('https://x.example/', md5(text)) as url", "lang as language", "source as source_url",
         f"element_at(array({_list(SOURCE_TYPES)}), cast(doc_id % 5 + 1 as int)) as source_type",
         f"{_EPOCH} + {step('(doc_id * 43) % 43200')} as first_seen_at", f"{_EPOCH} + {step('(doc_id * 43) % 43200 + doc_id % 97')} as last_seen_at",
@@ -36,7 +35,7 @@ def articles(spark: SparkSession, sf_dir: str, vectors: bool = False, whole: boo
         "case when doc_id % 17 <> 0 then ((doc_id * 7919) % 2001 - 1000) / 1000.0d end as sentiment",
         "case when doc_id % 3 <> 0 then ((doc_id * 104729) % 2001 - 1000) / 1000.0d end as llm_sentiment",
         f"case when doc_id % 4 <> 0 then {tags(TICKERS, 'doc_id % 4', 5)} end as tickers", f"case when doc_id % 3 <> 0 then {tags(SECTORS, 'doc_id % 3', 3)} end as sectors",
-        f"case when doc_id % 2 = 0 then null when doc_id % 10 = 1 then '' else {head(200)} end as ai_summary", "md5(text) as text_key",
+        "case when doc_id % 2 = 0 then null when doc_id % 10 = 1 then '' else substring_index(text, '\\n', -1) end as ai_summary", "md5(text) as text_key",
     )
     label = lambda c: F.when(F.col(c) >= 0.2, "positive").when(F.col(c) <= -0.2, "negative").when(F.col(c).isNotNull(), "neutral")
     out = out.withColumns({
@@ -80,14 +79,14 @@ SQL = f"""
 WITH articles AS (SELECT *, CASE WHEN sentiment >= 0.2 THEN 'positive' WHEN sentiment <= -0.2 THEN 'negative' WHEN sentiment IS NOT NULL THEN 'neutral' END AS sentiment_label,
   CASE WHEN llm_sentiment >= 0.2 THEN 'positive' WHEN llm_sentiment <= -0.2 THEN 'negative' WHEN llm_sentiment IS NOT NULL THEN 'neutral' END AS llm_sentiment_label,
   coalesce(published_at, first_seen_at) AS effective_published
- FROM (SELECT doc_id AS id, substr(split_part(text, chr(10), 1), 1, 120) AS title, substr(text, 1, 2000) AS summary, 'https://x.example/' || md5(text) AS url,
+ FROM (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text AS summary, 'https://x.example/' || md5(text) AS url,
   lang AS language, source AS source_url, [{_list(SOURCE_TYPES)}][(doc_id % 5 + 1)::INT] AS source_type,
   {_D} + to_minutes((doc_id * 43) % 43200) AS first_seen_at, {_D} + to_minutes((doc_id * 43) % 43200 + doc_id % 97) AS last_seen_at,
   CASE WHEN doc_id % 11 <> 0 THEN {_D} + to_minutes((doc_id * 43) % 43200 - doc_id % 300) END AS published_at,
   CASE WHEN doc_id % 17 <> 0 THEN ((doc_id * 7919) % 2001 - 1000) / 1000.0::DOUBLE END AS sentiment,
   CASE WHEN doc_id % 3 <> 0 THEN ((doc_id * 104729) % 2001 - 1000) / 1000.0::DOUBLE END AS llm_sentiment,
   CASE WHEN doc_id % 4 <> 0 THEN {_TAGS(TICKERS, 'doc_id % 4', 5)} END AS tickers, CASE WHEN doc_id % 3 <> 0 THEN {_TAGS(SECTORS, 'doc_id % 3', 3)} END AS sectors,
-  CASE WHEN doc_id % 2 = 0 THEN NULL WHEN doc_id % 10 = 1 THEN '' ELSE substr(text, 1, 200) END AS ai_summary, text FROM documents)),
+  CASE WHEN doc_id % 2 = 0 THEN NULL WHEN doc_id % 10 = 1 THEN '' ELSE string_split(text, chr(10))[-1] END AS ai_summary, text FROM documents)),
 stories AS (SELECT * , CASE WHEN (id // 8) % 3 <> 0 THEN id // 8 * 8 + 7 END AS cluster_rep_id, CASE WHEN (id // 8) % 3 <> 0 THEN 8 ELSE 1 END AS cluster_size,
   CASE WHEN (id // 8) % 3 <> 0 AND id % 5 <> 0 THEN 1.0::DOUBLE - (id % 8) / 100.0::DOUBLE END AS similarity_to_rep FROM articles),
 feedback AS (SELECT event_id AS id, user_id::VARCHAR AS user_id, event_id * 31 % (SELECT count(*) FROM documents) AS news_id,

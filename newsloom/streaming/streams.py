@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from newsloom.operators.affinity import user_affinity
+from newsloom.operators.affinity import affinity_scores, affinity_sums
 from newsloom.operators.alerts import AlertParams, dispatch_alerts
-from newsloom.operators.dedup import upsert_articles
+from newsloom.operators.dedup import bumped_articles, new_articles
+from newsloom.operators.search import search_postings
 from newsloom.scratch import Scratch
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -41,32 +42,145 @@ class Versions:
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
 
+    def prune(self, version: int) -> None:
+        """Removes what no replay of batch ``version`` or of a later one reads."""
+        last = self.newest(version)
+        fs, p = self._fs()
+        for s in fs.listStatus(p) if fs.exists(p) else []:
+            if int(s.getPath().getName()[1:]) < last:
+                fs.delete(s.getPath(), True)
+
+
+class Parts:
+    """A table that grows by a part a batch: ``c<n>`` holds all up to batch n together, ``v<n>`` what batch n added. A replayed batch writes its part again.
+
+    No part is rewritten but when parts are put together, which ``compact`` does before batch n for the batches before it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _of(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
+
+    def _held(self, below: int | None) -> list[tuple[int, str]]:
+        fs = self._of().getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(self._of()):
+            return []
+        done = sorted((int(n[1:]), n[0]) for s in fs.listStatus(self._of()) if fs.exists(self._of(n := s.getPath().getName(), "_SUCCESS")))
+        return [(v, kind) for v, kind in done if below is None or v < below]
+
+    def last(self, below: int | None = None) -> int:
+        """The last batch that is held together with those before it."""
+        return max((v for v, kind in self._held(below) if kind == "c"), default=-1)
+
+    def names(self, below: int | None = None, after: int = -1) -> list[str]:
+        """Folders that together are the table before batch ``below``, or what came to it after batch ``after``."""
+        last = self.last(below)
+        return [f"{kind}{v}" for v, kind in self._held(below) if v > after and (v > last if kind == "v" else v == last)]
+
+    def read(self, schema, below: int | None = None, after: int = -1) -> DataFrame:
+        paths = [f"{self.path}/{n}" for n in self.names(below, after)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def write(self, df: DataFrame, version: int, kind: str = "v") -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{kind}{version}")
+
+    def compact(self, whole: DataFrame, before: int) -> None:
+        """Writes ``whole`` as all that is held before batch ``before`` and removes the parts of it; done once."""
+        if self.last(before) < before - 1:
+            self.write(whole, before - 1, "c")
+        self.remove(before, {f"c{before - 1}"})
+
+    def remove(self, before: int, but: set[str] = frozenset()) -> None:
+        fs = self._of().getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for v, kind in self._held(before):
+            if f"{kind}{v}" not in but:
+                fs.delete(self._of(f"{kind}{v}"), True)
+
+
+BUMPS = "url string, hits long, at timestamp"
+
+
+class Articles:
+    """The articles that ``stream_upsert`` keeps: rows of new URLs, bumps of known ones, and perhaps postings, each batch's beside the others.
+
+    Reading lays the bumps over the rows. Both are parts of a table, so a batch writes as much as it brings, however large the table is.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema):
+        self.schema = schema
+        self.rows, self.bumps, self.index = (Parts(spark, f"{path.rstrip('/')}/{x}") for x in ("rows", "bumps", "postings"))
+
+    def keys(self, below: int | None = None) -> DataFrame:
+        return self.rows.read(self.schema, below).select("url", "id")
+
+    def read(self, below: int | None = None) -> DataFrame:
+        bumps = self.bumps.read(BUMPS, below, self.rows.last(below))
+        return bumped_articles(self.rows.read(self.schema, below), bumps.groupBy("url").agg(F.sum("hits").alias("hits"), F.max("at").alias("at")))
+
+    def postings(self, below: int | None = None) -> DataFrame:
+        return self.index.read("id long, term string, pos int, weight string, n_pos int", below)
+
+    def compact(self, before: int) -> None:
+        """Writes the rows before batch ``before`` with their bumps laid over; bumps of batches that are in the rows no longer count, and go."""
+        if self.rows.last(before) < before - 1:
+            with Scratch(self.rows.spark, "articles") as scratch:
+                self.rows.compact(scratch.save(self.read(before)), before)
+        self.bumps.remove(before)
+
 
 def _as_of(as_of: Callable[[], Column] | Column) -> Column:
     return as_of() if callable(as_of) else as_of
 
 
-def stream_upsert(stream: DataFrame, path: str, checkpoint: str, schema, as_of: Callable[[], Column] = F.current_timestamp, position: str = "position", **trigger) -> StreamingQuery:
-    """Upserts each micro-batch of records into the table of versions at ``path``."""
-    table = Versions(stream.sparkSession, path)
+def stream_upsert(
+    stream: DataFrame, path: str, checkpoint: str, schema, as_of: Callable[[], Column] = F.current_timestamp, position: str = "position", index: bool = False, **trigger
+) -> StreamingQuery:
+    """Upserts each micro-batch of records into the ``Articles`` at ``path``: new URLs are added with the next ids, known ones bumped once a batch.
+
+    Of what is there only URLs and ids are read. With ``index``, the new articles' search postings are added too (a bump changes no text).
+    """
+    table = Articles(stream.sparkSession, path, schema)
 
     def apply(batch: DataFrame, n: int) -> None:
-        out, _ = upsert_articles(table.read(schema, n), batch.withColumnRenamed(position, "position"), _as_of(as_of))
-        table.write(out, n)
+        batch = batch.withColumnRenamed(position, "position")
+        held, at = table.keys(n), _as_of(as_of)
+        known = batch.select("url").distinct().join(held.select("url"), "url", "left_semi")
+        table.bumps.write(known.select("url", F.lit(1).cast("long").alias("hits"), at.alias("at")), n)
+        table.rows.write(new_articles(held, batch, at, schema), n)
+        if index:
+            new = batch.sparkSession.read.schema(schema).parquet(f"{table.rows.path}/v{n}")
+            table.index.write(search_postings(new), n)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+#: Minutes between runs of a channel's collection by hours of the day (UTC): around the market's close, by day, by night.
+CHANNEL_TIERS = ((30, (20, 21, 22, 23, 0, 1)), (120, tuple(range(2, 15))), (240, tuple(range(15, 20))))
+
+
+def channel_due(at: Column) -> Column:
+    """Whether a channel's collection runs in this minute: a trigger by the clock for a scheduler of ``availableNow`` runs. Every 30 minutes, every second or every fourth hour of its tier."""
+    hour, minute = F.hour(at), F.minute(at)
+    due = F.lit(False)
+    for every, hours in CHANNEL_TIERS:
+        step = (minute % every == 0) if every < 60 else (minute == 0) & ((hour - hours[0]) % (every // 60) == 0)
+        due = due | (hour.isin(*hours) & step)
+    return due
+
+
 def alert_throttle(stream: DataFrame, path: str, checkpoint: str, schema, as_of: Column, cap: int, params: AlertParams, send: Callable[[DataFrame], None], **trigger) -> StreamingQuery:
     """Dispatches each micro-batch against the ledger at ``path``. The ledger is written after ``send``, so a failed send leaves no mark."""
     ledger = Versions(stream.sparkSession, path)
 
     def apply(batch: DataFrame, n: int) -> None:
-        scratch = Scratch(batch.sparkSession, "alerts")
-        out, after = dispatch_alerts(scratch.save(batch), ledger.read(schema, n), as_of, cap, params)
-        out = scratch.save(out)
-        send(out.where("outcome = 'sent'"))
-        ledger.write(after, n)
+        with Scratch(batch.sparkSession, "alerts") as scratch:
+            out, after = dispatch_alerts(scratch.save(batch), ledger.read(schema, n), as_of, cap, params)
+            out = scratch.save(out)
+            send(out.where("outcome = 'sent'"))
+            ledger.write(after, n)
+        ledger.prune(n)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -162,13 +276,22 @@ def rolling_summary(stream: DataFrame, hours: int, slide: str, late: str = "60 m
     return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "total", "positive", "negative", "neutral")
 
 
-def affinity_refresh(stream: DataFrame, articles: DataFrame, path: str, checkpoint: str, log_path: str, every: str = "300 seconds", **trigger) -> StreamingQuery:
-    """Adds each micro-batch to the feedback log and writes all users' affinity anew, at most once in ``every``."""
+SUMS = "user_id string, kind string, tag string, sum double"
+
+
+def affinity_refresh(stream: DataFrame, articles: DataFrame, path: str, checkpoint: str, sums_path: str, every: str = "300 seconds", compact_every: int = 96, **trigger) -> StreamingQuery:
+    """Adds each micro-batch's sums to those at ``sums_path`` and writes all users' affinity anew, at most once in ``every``.
+
+    The log itself isn't read again: an article counts with the tags that it had when the feedback came. Sums are put together every ``compact_every`` batches.
+    """
     spark = stream.sparkSession
-    table = Versions(spark, path)
+    table, sums = Versions(spark, path), Parts(spark, sums_path)
 
     def apply(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch={n}")
-        table.write(user_affinity(spark.read.parquet(log_path), articles), n)
+        if n and n % compact_every == 0:
+            sums.compact(sums.read(SUMS, n).groupBy("user_id", "kind", "tag").agg(F.sum("sum").alias("sum")), n)
+        sums.write(affinity_sums(batch, articles), n)
+        table.write(affinity_scores(sums.read(SUMS, n + 1)), n)
+        table.prune(n)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": every})).start()

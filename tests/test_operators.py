@@ -1,5 +1,7 @@
 import datetime as dt
+import math
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import Row
@@ -317,3 +319,109 @@ def test_repairs(spark):
     assert b[1] == (NOW, NOW) and b[3] == (AGO(days=1), AGO(days=1))
     c = articles(spark, {"title": "<b>x</b>", "source_url": "s"}, {"title": "x", "summary": "a &lt; b", "source_url": "s"}, {"title": "ok", "source_url": "s"}, {"title": "<b>", "ai_summary": "s", "source_url": "s"})
     assert {tuple(r) for r in Q.backfill_clean(c, as_of()).collect()} == {(1, "x", None), (2, "x", "a < b")}
+
+
+def test_star_of_many_leaves(spark):
+    n = 100_000
+    leaves = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    chain = spark.range(n + 1, n + 12).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    out = connected_components(spark.range(n + 20), leaves.union(chain))
+    got = {r.component: r.n for r in out.groupBy("component").agg(F.count("*").alias("n")).collect()}
+    assert got[0] == n + 1 and got[n + 1] == 12 and sum(got.values()) == n + 20
+
+
+def test_knn_of_copies_leaves_k_an_article(spark):
+    rng = random.Random(5)
+    rows = [(i, [1.0, 0.0, i * 1e-4]) for i in range(60)] + [(100 + i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(40)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    sim = lambda a, b: dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5
+    want = set()
+    for i, a in rows:
+        near = sorted((-round(s, 12), j) for j, b in rows if j > i and (s := sim(a, b)) >= 0.5)
+        want |= {(i, j) for _, j in near[:4]}
+    for block in (1000, 30):
+        got = {(r.a_id, r.b_id): r.sim for r in C.knn_edges(v, 0.5, 4, block).collect()}
+        assert len(got) == len(want) and {a for a, _ in got} == {a for a, _ in want}
+        by = {i: sorted(s for (a, _), s in got.items() if a == i) for i in {a for a, _ in want}}
+        vec = dict(rows)
+        assert all(by[i] == pytest.approx(sorted(sim(vec[i], vec[j]) for a, j in want if a == i)) for i in by)
+
+
+def test_cover_density_rank_by_all_minimal_windows(spark):
+    rng = random.Random(2)
+    weight = {"A": 1.0, "B": 0.4, "C": 0.2}
+    hits, want = [], {}
+    for q in range(4):
+        groups = rng.randrange(2, 4)
+        for i in range(25):
+            n = rng.randrange(20, 60)
+            rows = sorted({(p, rng.randrange(groups), rng.choice("ABC")) for p in rng.sample(range(1, n), rng.randrange(groups, 14))})
+            if len({g for _, g, _ in rows}) < groups:
+                continue
+            total = 0.0
+            full = lambda part: len({g for _, g, _ in part}) == groups  # noqa: E731,B023
+            for a in range(len(rows)):
+                for b in range(a, len(rows)):
+                    part = rows[a : b + 1]
+                    if full(part) and not full(part[1:]) and not full(part[:-1]):
+                        total += len(part) / sum(1 / weight[w] for _, _, w in part) / (1 + part[-1][0] - part[0][0] - len(part) + 1)
+            want[q, i] = total / (1 + math.log(n))
+            hits += [(q, i, g, p, w, n, groups) for p, g, w in rows for _ in range(rng.randrange(1, 3))]
+    df = spark.createDataFrame(hits, "query_id long, id long, group_no int, pos int, weight string, n_pos int, n_groups long")
+    got = {(r.query_id, r.id): r.fts_raw for r in SE.cover_density_rank(df).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_postings_follow_a_write(spark):
+    a = articles(spark, {"title": "one two", "summary": "three"}, {"title": "four", "summary": "five six"})
+    p = SE.search_postings(a)
+    changed = articles(spark, {"title": "seven", "summary": "eight two"})
+    got = {(r.id, r.term, r.pos, r.weight, r.n_pos) for r in SE.renewed_postings(p, changed).collect()}
+    assert got == {(1, "seven", 1, "A", 3), (1, "eight", 2, "B", 3), (1, "two", 3, "B", 3), (2, "four", 1, "A", 3), (2, "five", 2, "B", 3), (2, "six", 3, "B", 3)}
+    assert {(r.id, r.term, r.n_pos) for r in SE.search_postings(a, stopwords=("two", "six")).collect()} == {(1, "one", 2), (1, "three", 2), (2, "four", 2), (2, "five", 2)}
+
+
+def test_updated_at_follows_new_assignments(spark):
+    a = articles(spark, {"updated_at": AGO(days=3)}, {"updated_at": AGO(days=3)}, {"updated_at": AGO(days=3)})
+    new = spark.createDataFrame([(1, 2, 2, 0.9), (2, None, 1, None)], "id long, cluster_rep_id long, cluster_size int, similarity_to_rep double")
+    got = {r.id: (r.cluster_rep_id, r.updated_at) for r in C.apply_assignments(a, new, as_of()).collect()}
+    assert got == {1: (2, NOW), 2: (None, AGO(days=3)), 3: (None, AGO(days=3))}
+
+
+def test_sweep_is_a_clustering_a_set(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    rows = [{"title": " ".join(rng.choices(words[:12], k=6)), "summary": " ".join(rng.choices(words, k=30)), "language": "en", "embedding": [1.0, 0.02 * (i % 4), 0.3 * (i % 3)]} for i in range(24)]
+    a = articles(spark, *rows)
+    sweep = {"default": {}, "loose": {"min_overlap": 0, "min_ratio": 0.0, "min_body_jaccard": 0.0}, "high": {"threshold": 0.99, "min_overlap": 0, "min_ratio": 0.0, "min_body_jaccard": 0.0}}
+    got = sorted((r.params, r.size, r.stories) for r in C.cluster_param_sweep(a, sweep, as_of()).collect())
+    want = []
+    for name, change in sweep.items():
+        one = C.cluster_articles(a, as_of(), replace(C.ClusterParams(), **change)).where("cluster_rep_id = id").groupBy("cluster_size").count().collect()
+        want += [(name, r.cluster_size, r["count"]) for r in one]
+    assert got == sorted(want) and len(want) > 1
+
+
+def test_failed_scores_are_told(spark):
+    def scorer(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError
+        return [{"score": 0.5, "label": "positive", "confidence": 0.9} for _ in texts]
+
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["good", "bad", "", None, "fine"])], "id long, title string, language string")
+    got = {r.id: (r.score, r.label, r.failed) for r in SC.score_batch(df, scorer, batch=1).collect()}
+    assert got == {0: (0.5, "positive", False), 1: (0.0, "neutral", True), 2: (0.0, "neutral", False), 3: (0.0, "neutral", False), 4: (0.5, "positive", False)}
+
+
+def test_indexed_edges_against_exact_ones(spark):
+    rng = random.Random(9)
+    centre = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(40)]
+    rows = [(i, [x + rng.gauss(0, 0.25) for x in centre[i % 40]]) for i in range(900)] + [(2000 + i, [1.0] * 16) for i in range(150)] + [(3000, None)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    sims = lambda df: {(r.a_id, r.b_id): r.sim for r in df.collect()}
+    exact = sims(C.knn_edges(v, 0.8, 30, 100))
+    got = sims(C.knn_edges_indexed(v, 0.8, 30, 60))  # the 150 equal vectors are a bucket of several blocks in every band
+    assert len(exact) > 5000 and len(got.keys() & exact.keys()) / len(exact) >= 0.95
+    assert max(sum(1 for x, _ in got if x == a) for a, _ in got) <= 30 and all(s >= 0.8 - 1e-9 for s in got.values())
+    assert C.knn_edges_indexed(v.limit(0), 0.8).collect() == []

@@ -1,6 +1,7 @@
 """Each stream against its batch twin, over files that arrive in several micro-batches."""
 
 import datetime as dt
+import os
 import tempfile
 
 import pytest
@@ -10,6 +11,7 @@ from newsloom import schema
 from newsloom.operators.affinity import user_affinity
 from newsloom.operators.alerts import AlertParams, dispatch_alerts
 from newsloom.operators.dedup import current_feedback, upsert_articles
+from newsloom.operators.search import search_postings
 from newsloom.streaming import streams as ST
 
 NOW = dt.datetime(2024, 1, 31, 12, 0, 0)
@@ -44,11 +46,50 @@ def memory(spark, df, name, folder, mode="append"):
 
 def test_upsert(spark, folder):
     kind = "position int, url string, title string"
-    stream, _ = landed(spark, folder, [(i, f"u{i % 7}", f"t{i}") for i in range(30)], kind)
-    drain(ST.stream_upsert(stream, f"{folder}/table", f"{folder}/cp", schema.ARTICLE, as_of))
-    out = ST.Versions(spark, f"{folder}/table").read(schema.ARTICLE)
-    assert {(r.url, r.hit_count) for r in out.collect()} == {(f"u{i}", 3) for i in range(7)}
-    assert out.select("id").distinct().count() == 7
+    rows = [(i, f"u{i % 7}", f"t{i}") for i in range(30)] + [(30 + i, f"v{i}", "new") for i in range(3)]
+    stream, _ = landed(spark, folder, rows, kind)
+    drain(ST.stream_upsert(stream, f"{folder}/table", f"{folder}/cp", schema.ARTICLE, as_of, index=True))
+    table = ST.Articles(spark, f"{folder}/table", schema.ARTICLE)
+    want = spark.createDataFrame([], schema.ARTICLE)
+    for k in range(3):  # the batch twin
+        want = spark.createDataFrame(upsert_articles(want, spark.createDataFrame(rows[k::3], kind), as_of())[0].collect(), schema.ARTICLE)
+    same = lambda df: sorted((r.url, r.title, r.hit_count, r.last_seen_at, r.updated_at) for r in df.collect())
+    assert same(table.read()) == same(want) and len(same(want)) == 10
+    assert sorted(r.id for r in table.read().collect()) == list(range(1, 11))
+    assert {tuple(r) for r in table.postings().collect()} == {tuple(r) for r in search_postings(table.read()).collect()}
+    # each batch wrote its own part and nothing else
+    assert [table.rows.names(), table.bumps.names(), table.index.names()] == [["v0", "v1", "v2"]] * 3
+    assert [spark.read.parquet(f"{folder}/table/rows/v{k}").count() for k in range(3)] == [8, 1, 1]
+    before = same(table.read())
+    table.compact(2)
+    assert same(table.read()) == before and table.rows.names() == ["c1", "v2"] and table.bumps.names() == ["v2"]
+    table.compact(2)
+    assert same(table.read()) == before
+
+
+def test_replayed_part(spark, folder):
+    table = ST.Parts(spark, f"{folder}/t")
+    one = lambda i: spark.createDataFrame([(i,)], "id long")
+    for n in (0, 1, 1, 2):
+        table.write(one(n), n)
+    assert sorted(r.id for r in table.read("id long").collect()) == [0, 1, 2] and [r.id for r in table.read("id long", 1).collect()] == [0]
+    table.compact(table.read("id long", 2), 2)
+    assert table.names() == ["c1", "v2"] and sorted(r.id for r in table.read("id long").collect()) == [0, 1, 2]
+
+
+def test_old_versions_go(spark, folder):
+    table = ST.Versions(spark, f"{folder}/t")
+    for n in range(4):
+        table.write(spark.createDataFrame([(n,)], "id long"), n)
+        table.prune(n)
+    assert sorted(os.listdir(f"{folder}/t")) == ["v2", "v3"] and [r.id for r in table.read("id long").collect()] == [3]
+
+
+def test_channel_tiers(spark):
+    day = spark.range(0, 24 * 60).select(F.timestamp_seconds(F.col("id") * 60).alias("at"))
+    due = [(r.at.hour, r.at.minute) for r in day.where(ST.channel_due(F.col("at"))).select(F.col("at")).collect()]
+    assert len([x for x in due if x[0] in (20, 21, 22, 23, 0, 1)]) == 12 and all(m in (0, 30) for _, m in due)
+    assert sorted(h for h, _ in due if 2 <= h < 15) == [2, 4, 6, 8, 10, 12, 14] and sorted(h for h, _ in due if 15 <= h < 20) == [15, 19]
 
 
 def test_replayed_batch_writes_the_same_version(spark, folder):
@@ -111,8 +152,10 @@ def test_rolling_summary(spark, folder):
 
 
 def test_affinity_refresh(spark, folder):
-    arts = spark.createDataFrame([(1, ["a"], ["s"]), (2, ["b"], None)], "id long, tickers array<string>, sectors array<string>")
-    stream, batch = landed(spark, folder, [(i, f"u{i % 2}", 1 + i % 2, ["like", "dismiss"][i % 2], NOW) for i in range(12)], schema.FEEDBACK)
-    drain(ST.affinity_refresh(stream, arts, f"{folder}/aff", f"{folder}/cp", f"{folder}/log", availableNow=True))
+    arts = spark.createDataFrame([(1, ["a"], ["s"]), (2, ["b"], None), (3, None, None)], "id long, tickers array<string>, sectors array<string>")
+    stream, batch = landed(spark, folder, [(i, f"u{i % 2}", 1 + i % 3, ["like", "dismiss"][i % 2], NOW) for i in range(12)], schema.FEEDBACK)
+    drain(ST.affinity_refresh(stream, arts, f"{folder}/aff", f"{folder}/cp", f"{folder}/sums", compact_every=2, availableNow=True))
     want = user_affinity(batch, arts)
-    assert {tuple(r) for r in ST.Versions(spark, f"{folder}/aff").read(want.schema).collect()} == {tuple(r) for r in want.collect()}
+    near = lambda df: {(r.user_id, r.kind, r.tag, round(r.score, 9)) for r in df.collect()}
+    assert near(ST.Versions(spark, f"{folder}/aff").read(want.schema)) == near(want)
+    assert ST.Parts(spark, f"{folder}/sums").names() == ["c1", "v2"]  # parts before batch 2 were put together

@@ -1,4 +1,4 @@
-"""Queries without SQL see texts to their end."""
+"""Queries see texts to their end."""
 
 import random
 import re
@@ -15,7 +15,7 @@ def test_words_after_the_first_2000_characters(spark, tmp_path):
     spark.createDataFrame([(0, "last3 end"), (1, "last4 title")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(i, [float(i), 1.0]) for i in texts], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     split = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
-    whole = {r.id: r for r in V.articles(spark, str(tmp_path), whole=True).collect()}
+    whole = {r.id: r for r in V.articles(spark, str(tmp_path)).collect()}
     assert {i: r.summary for i, r in whole.items()} == texts
     count = {}
     for r in whole.values():
