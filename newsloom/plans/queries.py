@@ -699,11 +699,17 @@ def dispatch_counts(spark, d):
     return AL.dispatch_counts(_dispatch(spark, d)[0])
 
 
-@query(_TRIG + "SELECT id, (CASE WHEN strong THEN '💢 강한 신호' WHEN watch THEN '💹 관심 티커' ELSE '📰' END) || ' · ' || title AS title, CASE sentiment_label WHEN 'positive' THEN 2278750 WHEN 'negative' THEN 15680580 ELSE 7041664 END::BIGINT AS color, 'https://x.example/' || md5(text) AS url FROM trig JOIN stories USING (id)")
+_SHORT = "CASE WHEN length({0}) <= {1} THEN {0} ELSE substr({0}, 1, {1} - 1) || '…' END"
+
+
+@query(_TRIG + f"""SELECT id, (CASE WHEN strong THEN '💢 강한 신호' WHEN watch THEN '💹 관심 티커' ELSE '📰' END) || ' · ' || {_SHORT.format('title', 200)} AS title, CASE sentiment_label WHEN 'positive' THEN 2278750 WHEN 'negative' THEN 15680580 ELSE 7041664 END::BIGINT AS color,
+ 'https://x.example/' || md5(text) AS url, nullif({_SHORT.format('body', 1200)}, '') AS description,
+ concat_ws('  ·  ', source_type, language, nullif(concat_ws('/', CASE WHEN strong THEN 'strong_sentiment' END, CASE WHEN watch THEN 'ticker_watch' END), '')) AS footer, strftime(coalesce(published_at, last_seen_at), '%Y-%m-%dT%H:%M:%SZ') AS timestamp
+ FROM (SELECT *, coalesce(nullif(trim(ai_summary, E' \\t\\n'), ''), nullif(trim(summary, E' \\t\\n'), '')) AS body FROM trig JOIN (SELECT * EXCLUDE (first_seen_at, cluster_rep_id) FROM stories) USING (id))""")
 def alert_payloads(spark, d):
     out = AL.alert_payloads(AL.evaluate_triggers(V.stories(V.articles(spark, d)), _PARAMS))
     get = lambda k: F.get_json_object("payload", f"$.{k}")
-    return out.select("id", get("title").alias("title"), get("color").cast("bigint").alias("color"), get("url").alias("url"))
+    return out.select("id", get("title").alias("title"), get("color").cast("bigint").alias("color"), get("url").alias("url"), get("description").alias("description"), get("footer.text").alias("footer"), get("timestamp").alias("timestamp"))
 
 
 # ---- streams' batch twins --------------------------------------------------------------------------------------------------
