@@ -172,13 +172,19 @@ def linked_sets(one: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scrat
     links = _verified(first, sets, num, den)
     links = scratch.save(links if also is None else links.union(also))
     # what the least members left apart is tried with a few more members of each key, and only then pair by pair
-    apart = scratch.save(open_members(members, component_labels(links, scratch), one))
-    more = scratch.save(links.union(_verified(rep_pairs(apart, num, den), sets, num, den)))
-    apart = scratch.save(open_members(apart.select("key", "id"), component_labels(more, scratch), one))
-    last = scratch.save(more.union(_verified(cross_pairs(apart, one if two else None, num, den), sets, num, den)))
-    for used in (members, sets):
+    labels = component_labels(links, scratch)
+    apart = scratch.save(open_members(members, labels, one))
+    for pairs_of in (rep_pairs, lambda *x: cross_pairs(*x, one if two else None, scratch)):
+        if apart.isEmpty():
+            break
+        links = scratch.save(links.union(_verified(pairs_of(apart, num, den), sets, num, den)))
+        labels = component_labels(links, scratch)
+        if pairs_of is rep_pairs:
+            was, apart = apart, scratch.save(open_members(apart.select("key", "id"), labels, one))
+            scratch.drop(was)
+    for used in (members, sets, apart):
         scratch.drop(used)
-    return component_labels(last, scratch)
+    return labels
 
 
 def jaccard_components(
@@ -248,15 +254,15 @@ def rep_pairs(apart: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select(F.least("a_id", "b_id").alias("u"), F.greatest("a_id", "b_id").alias("v")).distinct()
 
 
-def cross_pairs(apart: DataFrame, one: DataFrame | None, num: int, den: int) -> DataFrame:
+def cross_pairs(apart: DataFrame, num: int, den: int, one: DataFrame | None, scratch: Scratch) -> DataFrame:
     """All pairs that still share a key but no component; given the keys of ``one``, members of a hot key are paired only where they share a greater key too."""
-    if one is None:
-        on = (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & near(num, den)
-        return _side(apart, "a").join(_side(apart, "b"), on).select(F.col("a_id").alias("u"), F.col("b_id").alias("v")).distinct()
-    hot = apart.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > HOT).select("key")
-    keys = one.select("id", F.explode("keys").alias("key2"))
-    split = apart.join(hot, "key", "left_semi").join(keys, "id").where("key2 > key")
-    both = apart.join(hot, "key", "left_anti").withColumn("key2", F.lit(0).cast("long")).unionByName(split)
+    hot = scratch.save(apart.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > HOT).select("key"))
+    both = apart.withColumn("key2", F.lit(0).cast("long"))
+    if one is not None and not hot.isEmpty():
+        split = scratch.save(apart.join(hot, "key", "left_semi"))
+        ids = scratch.save(split.select("id").distinct())  # written, so that the planner knows its size before it reads all keys
+        keys = one.select("id", "keys").join(ids, "id", "left_semi").select("id", F.explode("keys").alias("key2"))
+        both = both.join(hot, "key", "left_anti").unionByName(split.join(keys, "id").where("key2 > key"))
     side = lambda x: both.select(*(F.col(c).alias(f"{x}_{c}") for c in ("key", "key2", "id", "comp", "n", "bits")))
     on = (F.col("a_key") == F.col("b_key")) & (F.col("a_key2") == F.col("b_key2")) & (F.col("a_id") < F.col("b_id")) & near(num, den)
     return side("a").join(side("b"), on).select(F.col("a_id").alias("u"), F.col("b_id").alias("v")).distinct()

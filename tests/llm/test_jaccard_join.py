@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import types as T
 
+from newsloom.llm import jaccard_join
 from newsloom.llm.jaccard_join import band, bands_of, jaccard_components, max_diff
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("key", T.StringType())])
@@ -93,3 +94,33 @@ def test_chain_and_star_of_near_copies(spark):
         rows.append((500 - i, " ".join(words), "k"))
     got = {tuple(r) for r in jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == brute(rows)
+
+
+def test_repeated_ids_with_other_texts(spark):
+    a, b, c = ([f"{x}{i}" for i in range(40)] for x in "abc")
+    changed = lambda w, i: " ".join([*w[:i], "zz", *w[i + 1 :]])
+    rows = [(1, " ".join(a), "k"), (1, " ".join(b), "k"), (2, changed(a, 39), "k"), (3, changed(b, 0), "k"), (7, " ".join(c), "k"), (7, "one two", "k"), (9, "one two", "k"), (8, None, "k"), (8, "", "k")]
+    got = sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert set(got) == brute(rows) and len(got) == len(rows) and {r[2] for r in got if r[0] in (1, 2, 3)} == {1}
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(40_000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(base), "k"), (2, " ".join(near(rng, base, 900)), "k"), (3, " ".join(near(rng, base, 9000)), "k"), (4, "again and " * 200_000, "k"), (5, "again and " * 100_000, "k")]
+    got = {tuple(r) for r in jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows) and {(r[0], r[2]) for r in got} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4)}
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 4)
+    rng = random.Random(12)
+    rows, i = [], 0
+    for size in (7, 9, 14, 20, 45):  # forms that share half of their words and link with a few of them only
+        form = [f"f{k}" for k in range(size)]
+        for _ in range(45):
+            i += 1
+            at = rng.sample(range(size), rng.choice((0, 1, 2, size // 4)))
+            rows.append((i, " ".join(f"x{rng.randrange(3)}" if k in at else w for k, w in enumerate(form)), "k"))
+    got = {tuple(r) for r in jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows)
