@@ -1,6 +1,7 @@
 import random
 import re
 
+from newsloom.llm import contamination
 from newsloom.llm.contamination import contained_items, decontaminate, least_hits
 
 
@@ -34,3 +35,19 @@ def test_same_as_exact_containment(spark):
 
 def test_hits_needed():
     assert least_hits(24) >= 1 and least_hits(48) > least_hits(24)
+
+
+def test_very_long_text(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    long = "filler and " * 150_000
+    docs = spark.createDataFrame([(1, long + item + " " + long, "k"), (2, long, "k"), (3, "x" * 2_000_000, "k")], "doc_id long, text string, h string")
+    items = spark.createDataFrame([(7, item), (8, "filler and filler and filler")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.containment) for r in contained_items(docs, items).collect()) == [(1, 7, 1.0), (1, 8, 1.0), (2, 8, 1.0)]
+
+
+def test_large_item_sets_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(contamination, "BROADCAST_ROWS", 10)
+    items = [(i, " ".join(f"w{i}_{k}" for k in range(20))) for i in range(12)]
+    docs = [(i, "before it " + items[i][1] + " and after", "k") for i in range(8)]
+    ddf, idf = spark.createDataFrame(docs, "doc_id long, text string, h string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contained_items(ddf, idf).collect()} == {(i, i) for i in range(8)}

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from newsloom.llm.substring_dedup import remove_repeats, repeated_passages
+from newsloom.llm.substring_dedup import Block, LineSets, remove_repeats, repeated_passages
 
 SCHEMA = "doc_id long, text string, start string"
 
@@ -87,3 +88,60 @@ def test_no_word_is_lost(spark):
     rows = [(i, " ".join(rng.sample(stock, rng.randrange(1, 6))), "k") for i in range(60)]
     kept = {w for r in remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect() for w in r.text.split()}
     assert {w for _, t, _ in rows for w in t.split()} == kept
+
+
+def exact(a, b):
+    """Jaccard similarity of two lines' 5-word shingles."""
+    x, y = ({tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_lines_against_all_pairs(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(200):  # pairs of lines with words changed here and there, on both sides of the threshold
+        base = words(rng, rng.randrange(60, 300))
+        other = list(base)
+        for _ in range(rng.randrange(1, 2 + len(base) // 30)):
+            other[rng.randrange(len(base))] = f"z{i}_{rng.random()}"
+        rows += [(2 * i, " ".join(base), "k"), (2 * i + 1, " ".join(other), "k")]
+    pairs = [(rows[2 * i][1], rows[2 * i + 1][1]) for i in range(200)]
+    linked = {i for i, (x, y) in enumerate(pairs) if 100 * exact(x, y) >= 80}
+    assert 40 < len(linked) < 160
+    # the recall of the bands alone
+    with np.errstate(over="ignore"):
+        block = Block([t.encode() for _, t, _ in rows])
+        keys = LineSets(block.run, block.lines()).band_keys()
+    assert len(keys) == len(rows)
+    met = {i for i in linked if (keys[2 * i] == keys[2 * i + 1]).any()}
+    assert len(met) >= 0.99 * len(linked)
+    # what is found: all pairs that link, and else only those that share a unit's words
+    group = {r.doc_id: r.group_id for r in repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    found = {i for i in range(200) if 2 * i in group and 2 * i + 1 in group}
+    grams = lambda t: {tuple(t.split()[k : k + 41]) for k in range(len(t.split()) - 40)}
+    assert len(found & linked) >= 0.99 * len(linked) and all(grams(pairs[i][0]) & grams(pairs[i][1]) for i in found - linked)
+
+
+def test_fifty_words_are_left_alone(spark):
+    rng = random.Random(31)
+    rows = []
+    for p, n in enumerate([41, 44, 47, 49, 50, 51, 52, 56, 60] * 4):
+        shared = words(rng, n)
+        rows += [(2 * p + k, " ".join(words(rng, 70) + shared + words(rng, 70)), "k") for k in (0, 1)]
+    got = {}
+    for r in repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for i, text, _ in rows:
+        n = [41, 44, 47, 49, 50, 51, 52, 56, 60][i // 2 % 9]
+        assert (i in got) == (n > 50), (i, n)
+        if n in (51, 52):  # found by windows, to the last word
+            assert text[got[i][0].start : got[i][0].end].split() == text.split()[70 : 70 + n]
+
+
+def test_repeated_rows_and_ties(spark):
+    rng = random.Random(41)
+    text = " ".join(words(rng, 90))
+    rows = [(1, text, "k"), (1, text, "k"), (2, text, "k"), (3, text + "\n" + text, "k"), (4, " ".join(words(rng, 90)), "k"), (4, " ".join(words(rng, 90)), "k")]
+    got = repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3} and {r.doc_id for r in got if not r.removed} == {1} and len({r.group_id for r in got}) == 1
+    assert all(r.n_copies == len(got) for r in got)

@@ -51,3 +51,17 @@ def test_files(spark):
         assert t.reader.num_record_batches == -(-f.n_tokens // (16 * BATCH_SEQUENCES))
     assert len(flat) == at
     assert read_documents(scratch.save(write_token_files(df, PATH, f"{scratch.root}/more"))).count() == len(rows)
+
+
+def test_null_and_repeated_ids(spark):
+    lib = library()
+    rows = [(None, f"no id {i}") for i in range(40)] + [(None, None), (3, "three"), (3, "three"), (3, "another three"), (5, "")]
+    got = token_file_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), PATH).collect()
+    size = lambda t: len(lib.encode(t or "", add_special_tokens=False).ids) + 1
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens) for r in got) == sorted((i is not None, i or 0, size(t)) for i, t in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):  # end to end, ids ascending, nulls first
+        assert r.start == at
+        at += r.n_tokens
+    ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert ids == [None] * 41 + [3, 3, 3, 5]
