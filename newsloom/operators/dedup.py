@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.score import month_bucket
 from newsloom.functions.text import blank_to_null
 from newsloom.schema import ARTICLE
 
@@ -86,7 +87,7 @@ def latest_post_id(posts: DataFrame, since: DataFrame) -> DataFrame:
 
 
 def monthly_spend(posts: DataFrame, price: float, budget: float, column: str = "created_at") -> DataFrame:
-    out = posts.groupBy(F.date_format(column, "yyyy-MM").alias("month")).agg(F.count("*").alias("posts"))
+    out = posts.groupBy(month_bucket(F.col(column)).alias("month")).agg(F.count("*").alias("posts"))
     spend = F.round(F.col("posts") * F.lit(price), 6)
     return out.withColumn("spend", spend).withColumn("over_budget", F.col("spend") >= budget)
 

@@ -60,8 +60,10 @@ def articles_by_topic(df: DataFrame, topics: DataFrame, slug: str, page: int = 1
 
 def cluster_siblings(df: DataFrame, article_id: int) -> DataFrame:
     """All members of the article's story; an article without one is its own."""
-    own = df.where(F.col("id") == article_id).select(F.coalesce("cluster_rep_id", F.lit(-1)).alias("rep"), F.col("id").alias("own"))
-    return df.join(own, (F.col("cluster_rep_id") == F.col("rep")) | (F.col("id") == F.col("own")), "left_semi").orderBy(F.desc_nulls_last("similarity_to_rep"), F.desc("last_seen_at"), F.desc("id"))
+    rep = df.where(F.col("id") == article_id).agg(F.max("cluster_rep_id").alias("__rep"))
+    out = df.join(F.broadcast(rep), F.col("cluster_rep_id") == F.col("__rep"), "left")  # one row
+    out = out.where(F.col("__rep").isNotNull() | (F.col("id") == article_id)).drop("__rep")
+    return out.orderBy(F.desc_nulls_last("similarity_to_rep"), F.desc("last_seen_at"), F.desc("id"))
 
 
 def articles_by_action(df: DataFrame, feedback: DataFrame, user: str, action: str, page: int = 1, size: int = 20) -> DataFrame:

@@ -253,6 +253,14 @@ def by_id(spark, d):
     return FI.by_id(V.articles(spark, d), 42).select("id", "title")
 
 
+@query(r"""SELECT id, cleaned FROM (SELECT id, t, regexp_replace(regexp_replace(t, '^([\[\(][^\[\](),]+[\]\)]\s*)+', ''), '\s*[-–—]\s*[^\s\-–—]{1,10}\s*$', '') AS cleaned
+ FROM (SELECT id, CASE WHEN id % 2 = 0 THEN '[' || source_url || '] ' || title ELSE title || ' - ' || language END AS t FROM articles)) WHERE cleaned IS DISTINCT FROM t""")
+def changed_rows(spark, d):
+    """Titles with a bracket tag before them or an attribution behind."""
+    t = F.when(F.col("id") % 2 == 0, F.concat(F.lit("["), F.col("source_url"), F.lit("] "), F.col("title"))).otherwise(F.concat("title", F.lit(" - "), F.col("language")))
+    return FI.changed_rows(V.articles(spark, d).select("id", t.alias("t")), "t", X.clean_title(F.col("t"))).select("id", "cleaned")
+
+
 @query("SELECT CASE WHEN coalesce(nullif(language, ''), 'en') IN ('en', 'ko') THEN coalesce(nullif(language, ''), 'en') ELSE 'other' END AS route, count(*) AS n FROM articles GROUP BY 1")
 def language_route(spark, d):
     return V.articles(spark, d).groupBy(FI.language_route(F.col("language")).alias("route")).agg(F.count("*").alias("n"))
