@@ -55,8 +55,9 @@ def fts_candidates(expanded: DataFrame, postings: DataFrame) -> DataFrame:
     terms = expanded.select("query_id", "group_no", F.explode("terms").alias("term"))
     need = expanded.groupBy("query_id").agg(F.count("*").alias("n_groups"))
     hits = terms.join(postings, "term").join(need, "query_id")
-    full = hits.groupBy("query_id", "id").agg(F.count_distinct("group_no").alias("got"), F.max("n_groups").alias("n")).where("got = n").select("query_id", "id")
-    return hits.join(full, ["query_id", "id"], "left_semi").select("query_id", "id", "group_no", "pos", "weight", "n_pos", "n_groups")
+    # hits of one document; a join with the documents that are full would read and split all texts twice
+    got = F.size(F.collect_set("group_no").over(Window.partitionBy("query_id", "id")))
+    return hits.withColumn("got", got).where("got = n_groups").select("query_id", "id", "group_no", "pos", "weight", "n_pos", "n_groups")
 
 
 def single_group_rank(hits: DataFrame) -> DataFrame:

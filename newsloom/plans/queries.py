@@ -622,7 +622,7 @@ def cover_density_rank(spark, d):
 def _search(spark, d, **more):
     a = V.articles(spark, d, vectors=True)
     q = _queries(spark, d).withColumn("text", F.col("one"))
-    return SE.hybrid_search(a, SE.search_postings(a), q, _lexicon(spark), V.as_of(), filters=FI.SearchFilter(language="en"), size=10, **more)
+    return SE.hybrid_search(a, SE.search_postings(V.articles(spark, d)), q, _lexicon(spark), V.as_of(), filters=FI.SearchFilter(language="en"), size=10, **more)
 
 
 _SEARCH = _ONE + """, vec AS (SELECT t.id, x.embedding::DOUBLE[] AS v FROM articles t JOIN (SELECT text, min(id) AS vid FROM articles GROUP BY text) m ON m.text = t.text JOIN embeddings x ON x.vec_id = m.vid),
@@ -644,7 +644,7 @@ def hybrid_search(spark, d):
 def hybrid_search_words(spark, d):
     """Two words an item, so that ranks need all groups."""
     a, q = V.articles(spark, d, vectors=True), _queries(spark, d)
-    return _page(SE.hybrid_search(a, SE.search_postings(a), q, _lexicon(spark), V.as_of(), size=10))
+    return _page(SE.hybrid_search(a, SE.search_postings(V.articles(spark, d)), q, _lexicon(spark), V.as_of(), size=10))
 
 
 @query(_SEARCH + "SELECT query_id, page.id, title, url FROM page JOIN articles USING (id)")
