@@ -20,6 +20,8 @@ FIELD_WEIGHT = {"A": 1.0, "B": 0.4, "C": 0.2}
 MIN_COSINE = 0.5
 #: Bound of the query table, whose vectors go to every executor.
 MAX_QUERIES = 10_000
+#: Rows of query terms up to which these are broadcast.
+MAX_TERMS = 1_000_000
 WORD = r"(?U)[^\p{Alnum}]+"
 
 
@@ -53,10 +55,13 @@ def renewed_postings(postings: DataFrame, changed: DataFrame, **how) -> DataFram
 def fts_candidates(expanded: DataFrame, postings: DataFrame) -> DataFrame:
     """``(query_id, id, group_no, pos, weight, n_pos, n_groups)``: hits of documents that have a term of every group."""
     terms = expanded.select("query_id", "group_no", F.explode("terms").alias("term"))
-    need = expanded.groupBy("query_id").agg(F.count("*").alias("n_groups"))
-    hits = terms.join(postings, "term").join(need, "query_id")
+    terms = terms.join(expanded.groupBy("query_id").agg(F.count("*").alias("n_groups")), "query_id")
+    # the queries' terms are the small side, which the planner can't tell from their plan
+    hits = postings.join(F.broadcast(terms) if terms.count() <= MAX_TERMS else terms, "term")
     # hits of one document; a join with the documents that are full would read and split all texts twice
-    got = F.size(F.collect_set("group_no").over(Window.partitionBy("query_id", "id")))
+    one = Window.partitionBy("query_id", "id")
+    bit = F.when(F.col("group_no") < 63, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("group_no").cast("int")))  # a query's first 63 groups
+    got = F.bit_count(F.coalesce(F.bit_or(bit).over(one), F.lit(0).cast("long"))) + F.size(F.collect_set(F.when(F.col("group_no") >= 63, F.col("group_no"))).over(one))
     return hits.withColumn("got", got).where("got = n_groups").select("query_id", "id", "group_no", "pos", "weight", "n_pos", "n_groups")
 
 
