@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from newsloom.llm.shingles import blocks
 
@@ -152,10 +153,13 @@ def planted(words: list[bytes], doc_id: str) -> list[bytes]:
     return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def planted_text(texts: pd.Series, ids: pd.Series) -> pd.Series:
     """Texts with their words changed by ``planted``; a null id or text changes nothing."""
-    out = [b" ".join(planted(t.encode().split(), i)).decode() if isinstance(t, str) and isinstance(i, str) and zlib.crc32(i.encode()) % 10 == 0 else t for t, i in zip(texts, ids, strict=True)]
+    out = []
+    for t, i in zip(texts, ids, strict=True):
+        changed = isinstance(t, str) and isinstance(i, str) and zlib.crc32(i.encode()) % 10 == 0
+        out.append(b" ".join(planted(t.encode().split(), i)).decode() if changed else t)
     return pd.Series(out, dtype=object)
 
 
