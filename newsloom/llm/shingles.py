@@ -58,6 +58,15 @@ def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]
         yield start, len(lengths)
 
 
+def hash_spans(joined: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from each begin up to its end."""
+    up, down = _Powers.of(len(joined) + 1)
+    total = np.empty(len(joined) + 1, dtype=np.uint64)
+    total[0] = 0
+    np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[: len(joined)], out=total[1:])
+    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
+
 def word_places(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of a block, per text the position of its first word (one more entry at the end), the words' first and
     past-the-last bytes in the joined block, and that block."""
@@ -67,11 +76,7 @@ def word_places(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
     space = _SPACE[joined]
     edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=np.int8(1)))
     begin, end = edge[0::2], edge[1::2]
-    up, down = _Powers.of(len(joined) + 1)
-    total = np.empty(len(joined) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[: len(joined)], out=total[1:])
-    words = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    words = hash_spans(joined, begin, end)
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     starts = np.r_[0, np.cumsum(lengths + 1)]
     return words, np.searchsorted(begin, starts), begin, end, joined
