@@ -1 +1 @@
-"""Corpus preparation for training data: ten operators and the queries that apply them to whole tables."""
+"""Corpus preparation for training data: thirteen operators and the queries that apply them to whole tables."""

@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, contamination, embedding_quality, html_text, langid, licenses, periodic_runs, pii, quality, substring_dedup, token_files
+from newsloom.llm import bpe, contamination, embedding_quality, html_text, langid, licenses, periodic_runs, pii, quality, substring_dedup, token_alignment, token_files
 from newsloom.llm.jaccard_join import jaccard_components
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,12 +67,19 @@ def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_quality.score_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_report(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_token_files, op3_language_id, op4_decontamination, op5_substring_dedup, op6_pii, op7_html_extraction, op8_quality_rules, op9_bpe, op10_ngram_jaccard_join, op11_quality_classifier, op13_periodic_runs)
+    found = (
+        op1_license_scan, op2_token_files, op3_language_id, op4_decontamination, op5_substring_dedup, op6_pii, op7_html_extraction, op8_quality_rules, op9_bpe,
+        op10_ngram_jaccard_join, op11_quality_classifier, op12_token_alignment, op13_periodic_runs,
+    )
     return {f.__name__: f for f in found}
 
 
