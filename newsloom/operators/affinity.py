@@ -16,21 +16,26 @@ def feedback_with_tags(feedback: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def affinity_sums(feedback: DataFrame, articles: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """``(user_id, kind, tag, sum)``: signed sums of a user's tags, and with an empty kind and tag the number of the user's rows of a known action, those without
+    """``(user_id, kind, tag, sum, n)``: signed sums of a user's tags with their number of rows, and with an empty kind and tag the number of the user's rows of a known action, those without
     tags included. Sums of parts of a log add up to the sums of the log."""
+    return signed_sums(feedback_with_tags(feedback, articles).withColumn("sign", F.lit(1)), weights)
+
+
+def signed_sums(changes: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """The same of ``changes(user_id, action, sign, tickers, sectors)``: rows with sign -1 take back what one with sign 1 added."""
     known = F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(v))))
-    rows = feedback_with_tags(feedback, articles).withColumn("weight", F.try_element_at(known, F.col("action"))).where("weight is not null")
+    rows = changes.withColumn("weight", F.try_element_at(known, F.col("action"))).where("weight is not null")
     fold = lambda c: F.transform(c, lambda t: F.upper(t))
     tag = lambda kind, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("tag")))
     named = F.filter(F.concat(tag("ticker", fold("tickers")), tag("sector", F.col("sectors"))), lambda t: t["tag"] != "")
     each = F.concat(F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("tag"))), named)
-    value = F.when(F.col("t.kind") == "", 1.0).otherwise(F.col("weight"))
-    return rows.select("user_id", "weight", F.explode(each).alias("t")).groupBy("user_id", "t.kind", "t.tag").agg(F.sum(value).alias("sum"))
+    value = F.col("sign") * F.when(F.col("t.kind") == "", 1.0).otherwise(F.col("weight"))
+    return rows.select("user_id", "weight", "sign", F.explode(each).alias("t")).groupBy("user_id", "t.kind", "t.tag").agg(F.sum(value).alias("sum"), F.sum("sign").alias("n"))
 
 
 def affinity_scores(sums: DataFrame, prior: float = PRIOR) -> DataFrame:
     """``(user_id, kind, tag, score)`` from sums that may come in parts."""
-    whole = sums.groupBy("user_id", "kind", "tag").agg(F.sum("sum").alias("sum"))
+    whole = sums.groupBy("user_id", "kind", "tag").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n")).where("n > 0")  # not what was taken back
     total = whole.where("kind = ''").select("user_id", F.col("sum").alias("rows"))
     return whole.where("kind <> ''").join(total, "user_id").select("user_id", "kind", "tag", (F.col("sum") / (F.col("rows") + prior)).alias("score"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.score import hour_bucket
 from newsloom.functions.text import blank_to_null, strip, truncate
 from newsloom.operators.filters import recent_window
+from newsloom.operators.running import running_sums
 
 ARTICLE_DAYS, CLUSTER_HOURS = 30, 24
 #: Fixed values of the payload: badges by trigger in order of weight, colours by label, and its labels.
@@ -17,6 +18,8 @@ BADGES = (("breaking", "🚨 BREAKING"), ("strong_sentiment", "💢 강한 신
 COLORS = {"positive": 0x22C55E, "negative": 0xEF4444}
 NEUTRAL_COLOR = 0x6B7280
 TAGS = 10
+#: Up to this cap the hour's winners are taken and ranked in one task and broadcast.
+SMALL_CAP = 10_000
 
 
 @dataclass(frozen=True)
@@ -54,34 +57,55 @@ def evaluate_triggers(df: DataFrame, p: AlertParams = AlertParams()) -> DataFram
     return df.withColumn("reasons", trigger_reasons(p)).withColumn("should_alert", F.size("reasons") > 0)
 
 
-def dispatch_alerts(articles: DataFrame, ledger: DataFrame, as_of: Column, cap: int = 50, p: AlertParams = AlertParams()) -> tuple[DataFrame, DataFrame]:
-    """Outcome of each candidate of the lookback window, and the ledger after it.
+def live_marks(ledger: DataFrame, as_of: Column) -> DataFrame:
+    """The marks that still count: articles' for ``ARTICLE_DAYS``, stories' for ``CLUSTER_HOURS``, sendings' for the rest of their UTC hour."""
+    since = {"article": as_of - F.make_dt_interval(days=F.lit(ARTICLE_DAYS)), "cluster": as_of - F.make_dt_interval(hours=F.lit(CLUSTER_HOURS)), "sent": hour_bucket(as_of)}
+    live = F.lit(False)
+    for kind, at in since.items():
+        live = live | ((F.col("kind") == kind) & (F.col("marked_at") >= at))
+    return ledger.where(live)
+
+
+def alert_outcomes(articles: DataFrame, ledger: DataFrame, as_of: Column, cap: int = 50, p: AlertParams = AlertParams()) -> DataFrame:
+    """Outcome of each candidate of the lookback window.
 
     Newest first: one in the ledger is ``already_sent``; one whose story was alerted within a day is ``cluster_dedup`` and marked; of the others the
     first of each story leads, the first leaders up to what is left of this UTC hour's cap are ``sent``, later ones ``hourly_cap`` and unmarked;
-    a follower shares its leader's fate.
+    a follower shares its leader's fate. Marks that no longer count are passed over, and so are marks after ``as_of`` of another hour's sendings.
     """
+    marks = live_marks(ledger, as_of)
     due = evaluate_triggers(recent_window(articles, "first_seen_at", p.lookback_min, "minutes", as_of), p).where("should_alert").select("id", "first_seen_at", "cluster_rep_id", "reasons")
-    old = ledger.where((F.col("kind") == "article") & (F.col("marked_at") >= as_of - F.make_dt_interval(days=F.lit(ARTICLE_DAYS)))).groupBy(F.col("key").alias("id")).agg(F.lit(True).alias("old"))
-    live = ledger.where((F.col("kind") == "cluster") & (F.col("marked_at") >= as_of - F.make_dt_interval(hours=F.lit(CLUSTER_HOURS)))).groupBy(F.col("key").alias("cluster_rep_id")).agg(F.lit(True).alias("live"))
-    used = ledger.where((F.col("kind") == "sent") & (hour_bucket(F.col("marked_at")) == hour_bucket(as_of))).agg(F.count("*").alias("used"))
+    old = marks.where("kind = 'article'").groupBy(F.col("key").alias("id")).agg(F.lit(True).alias("old"))
+    live = marks.where("kind = 'cluster'").groupBy(F.col("key").alias("cluster_rep_id")).agg(F.lit(True).alias("live"))
+    used = marks.where((F.col("kind") == "sent") & (hour_bucket(F.col("marked_at")) == hour_bucket(as_of))).agg(F.count("*").alias("used"))
     rows = due.join(old, "id", "left").join(live, "cluster_rep_id", "left")
     rows = rows.withColumn("open", F.col("old").isNull() & F.col("live").isNull()).withColumn("story", F.coalesce(F.concat(F.lit("c"), F.col("cluster_rep_id").cast("string")), F.concat(F.lit("a"), F.col("id").cast("string"))))
     newest = [F.desc("first_seen_at"), F.desc("id")]
     leads = rows.where("open").withColumn("n", F.row_number().over(Window.partitionBy("story").orderBy(*newest))).where("n = 1")
-    # the cap is a small number, so the winners are one TakeOrdered and need no ordering of all leaders
-    ranked = leads.orderBy(*newest).limit(cap).withColumn("rank", F.row_number().over(Window.orderBy(*newest))).crossJoin(F.broadcast(used))  # at most cap rows, and one row
-    winners = ranked.where(F.col("rank") + F.col("used") <= cap).select("story", F.col("id").alias("lead_id"))
-    out = rows.join(F.broadcast(winners), "story", "left")  # at most cap rows
+    if cap <= SMALL_CAP:  # the winners are one TakeOrdered and need no ordering of all leaders
+        ranked = leads.orderBy(*newest).limit(cap).withColumn("rank", F.row_number().over(Window.orderBy(*newest)))
+    else:
+        ranked = running_sums(leads, [], newest, F.lit(1), "__before").withColumn("rank", F.col("__before") + 1)
+    winners = ranked.crossJoin(F.broadcast(used)).where(F.col("rank") + F.col("used") <= cap).select("story", F.col("id").alias("lead_id"))  # used is one row
+    out = rows.join(F.broadcast(winners) if cap <= SMALL_CAP else winners, "story", "left")  # at most cap rows
     outcome = (
         F.when(F.col("old"), "already_sent").when(F.col("live"), "cluster_dedup").when(F.col("id") == F.col("lead_id"), "sent")
         .when(F.col("lead_id").isNotNull(), "cluster_dedup").otherwise("hourly_cap")
     )
-    out = out.select("id", "cluster_rep_id", "first_seen_at", "reasons", outcome.alias("outcome"))
+    return out.select("id", "cluster_rep_id", "first_seen_at", "reasons", outcome.alias("outcome"))
+
+
+def alert_marks(out: DataFrame, as_of: Column) -> DataFrame:
+    """What outcomes add to the ledger."""
     mark = lambda kind, key, cond: out.where(cond).select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("key"), as_of.alias("marked_at"))
     sent = F.col("outcome") == "sent"
-    new = mark("article", "id", sent | (F.col("outcome") == "cluster_dedup")).unionByName(mark("cluster", "cluster_rep_id", sent & F.col("cluster_rep_id").isNotNull())).unionByName(mark("sent", "id", sent))
-    return out, ledger.unionByName(new)
+    return mark("article", "id", sent | (F.col("outcome") == "cluster_dedup")).unionByName(mark("cluster", "cluster_rep_id", sent & F.col("cluster_rep_id").isNotNull())).unionByName(mark("sent", "id", sent))
+
+
+def dispatch_alerts(articles: DataFrame, ledger: DataFrame, as_of: Column, cap: int = 50, p: AlertParams = AlertParams()) -> tuple[DataFrame, DataFrame]:
+    """Outcomes, and the ledger after them: the marks that still count and the new ones."""
+    out = alert_outcomes(articles, ledger, as_of, cap, p)
+    return out, live_marks(ledger, as_of).unionByName(alert_marks(out, as_of))
 
 
 def dispatch_counts(outcomes: DataFrame) -> DataFrame:

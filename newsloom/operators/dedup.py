@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.score import month_bucket
 from newsloom.functions.text import blank_to_null
-from newsloom.schema import ARTICLE
+from newsloom.operators.running import running_sums
+from newsloom.scratch import Scratch
 
 
 def distinct_urls(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -32,9 +33,14 @@ def new_articles(existing: DataFrame, batch: DataFrame, as_of: Column, schema) -
     base = base.select("__b", (F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("__base"))
     held = held.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("position", "url")))
     new = held.join(F.broadcast(base), "__b").crossJoin(F.broadcast(top))  # at most 256 rows, and one row
-    given = {"id": F.col("top") + F.col("__base") + F.col("__r"), "first_seen_at": as_of, "last_seen_at": as_of, "created_at": as_of, "updated_at": as_of, "hit_count": F.lit(1), "llm_enrich_attempts": F.lit(0), "cluster_size": F.lit(1)}
+    return new_rows(new.drop("id", "at").withColumns({"id": F.col("top") + F.col("__base") + F.col("__r"), "at": as_of}), schema)
+
+
+def new_rows(fresh: DataFrame, schema) -> DataFrame:
+    """Records of unknown URLs, with their ``id`` and the time ``at`` that they came, as rows of ``schema``."""
+    given = {"id": F.col("id"), "hit_count": F.lit(1), "llm_enrich_attempts": F.lit(0), "cluster_size": F.lit(1)} | {c: F.col("at") for c in ("first_seen_at", "last_seen_at", "created_at", "updated_at")}
     value = lambda c: given[c] if c in given else F.col(c) if c in fresh.columns else F.lit(None)
-    return new.select(*(value(f.name).cast(f.dataType).alias(f.name) for f in schema))
+    return fresh.select(*(value(f.name).cast(f.dataType).alias(f.name) for f in schema))
 
 
 def bumped_articles(articles: DataFrame, bumps: DataFrame) -> DataFrame:
@@ -92,6 +98,17 @@ def monthly_spend(posts: DataFrame, price: float, budget: float, column: str = "
     return out.withColumn("spend", spend).withColumn("over_budget", F.col("spend") >= budget)
 
 
+GATED = "month string, id long, allowed boolean"
+
+
+def gate_posts(posts: DataFrame, spent: DataFrame, price: float, budget: float, scratch: Scratch | None = None) -> DataFrame:
+    """Per post (``month``, ``id``), by id, whether what its month had ``spent(month, posts)`` before it and the posts before it left room in the budget."""
+    ordered = running_sums(posts, [F.col("month")], [F.col("id")], F.lit(1), "before", scratch=scratch)
+    out = ordered.join(spent.select(F.col("month").alias("__month"), F.col("posts").alias("spent")), F.col("month").eqNullSafe(F.col("__month")), "left")
+    before = F.col("before") + F.coalesce("spent", F.lit(0))
+    return out.select("month", "id", (before * F.lit(price) < budget).alias("allowed"))
+
+
 def dedupe_feedback(df: DataFrame) -> DataFrame:
     """Of equal (user, article, action) rows the one with the least id."""
     return df.groupBy("user_id", "news_id", "action").agg(F.min("id").alias("id"))

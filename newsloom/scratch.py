@@ -8,15 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``; a local one, one an application, only where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        context = spark.sparkContext
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="newsloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="newsloom-")
+        folder = _OWN[context.applicationId]
     return folder.rstrip("/")
 
 
