@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.payload import is_breaking_payload
 from newsloom.functions.score import hour_bucket
 from newsloom.functions.text import blank_to_null, strip, truncate
 from newsloom.operators.filters import recent_window
@@ -35,10 +36,9 @@ class AlertParams:
     watch_abs_sentiment: float = 0.3
 
 
-def trigger_reasons(p: AlertParams) -> Column:
+def trigger_reasons(p: AlertParams, breaking: Column) -> Column:
     """Array of breaking, strong_sentiment and ticker_watch. A zero counts as positive when signs are compared."""
     s, llm = F.col("sentiment"), F.col("llm_sentiment")
-    breaking = (F.get_json_object("raw_data", "$.x.breaking") == "true") | (F.get_json_object("raw_data", "$.youtube.category") == "breaking")
     strong = F.coalesce(F.abs(s) >= p.min_abs_sentiment, F.lit(False))
     agree = strong & (F.abs(llm) >= p.min_abs_sentiment) & ((s >= 0) == (llm >= 0))
     sure = F.when(llm.isNull(), strong).otherwise(F.coalesce(agree, F.lit(False)) | (F.abs(llm) >= p.rescue))
@@ -54,7 +54,8 @@ def trigger_reasons(p: AlertParams) -> Column:
 
 
 def evaluate_triggers(df: DataFrame, p: AlertParams = AlertParams()) -> DataFrame:
-    return df.withColumn("reasons", trigger_reasons(p)).withColumn("should_alert", F.size("reasons") > 0)
+    """``raw_data`` may be JSON text or a variant."""
+    return df.withColumn("reasons", trigger_reasons(p, is_breaking_payload(df))).withColumn("should_alert", F.size("reasons") > 0)
 
 
 def live_marks(ledger: DataFrame, as_of: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.payload import is_breaking_payload
 from newsloom.functions.score import contains_all
 
 #: One collector names its source otherwise than the filter does.
@@ -127,7 +128,8 @@ def by_id(df: DataFrame, article_id: int) -> DataFrame:
 
 
 def breaking_posts(df: DataFrame) -> DataFrame:
-    return df.where(F.coalesce(F.get_json_object("raw_data", "$.x.breaking") == "true", F.lit(False)) | F.coalesce(F.get_json_object("raw_data", "$.youtube.category") == "breaking", F.lit(False)))
+    """Articles whose payload (JSON text or variant) says so."""
+    return df.where(is_breaking_payload(df))
 
 
 def language_route(c: Column, known=("en", "ko")) -> Column:

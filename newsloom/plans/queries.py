@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions import payload as P
 from newsloom.functions import score as S
 from newsloom.functions import text as X
 from newsloom.operators import affinity as A
@@ -113,6 +114,11 @@ def feed_latest(spark, d):
     return _feed(spark, d, "latest")
 
 
+@query(_FEED.format("effective_published DESC, id DESC"))
+def feed_unknown_sort(spark, d):
+    return _feed(spark, d, "no such order")
+
+
 @query(_FEED.format("cluster_size DESC, effective_published DESC, id DESC"))
 def feed_cluster_size(spark, d):
     return _feed(spark, d, "cluster_size")
@@ -266,10 +272,42 @@ def language_route(spark, d):
     return V.articles(spark, d).groupBy(FI.language_route(F.col("language")).alias("route")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT id FROM articles WHERE id % 7 = 0")
+_PARAMS = AL.AlertParams(lookback_min=60 * 24 * 20, watch=("TSLA", "nvda"))
+_TRIG = """, trig AS (SELECT id, first_seen_at, cluster_rep_id, (CASE WHEN llm_sentiment IS NULL THEN coalesce(abs(sentiment) >= 0.7, false) ELSE coalesce(abs(sentiment) >= 0.7 AND abs(llm_sentiment) >= 0.7 AND (sentiment >= 0) = (llm_sentiment >= 0), false) OR abs(llm_sentiment) >= 0.8 END)
+  AND cluster_size >= CASE WHEN language = 'en' THEN 2 ELSE 3 END AND cluster_size < 50 AND len(coalesce(sectors, [])) > 0 AS strong,
+  coalesce(list_has_any(list_transform(tickers, lambda x: upper(x)), ['TSLA', 'NVDA']) AND abs(sentiment) >= 0.3, false) AS watch FROM stories) """
+
+
+def _with_payload(spark, d):
+    """Articles with the payload of the event of their number: a failed event is breaking news."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    inner = F.struct((F.col("event_type") == "error").alias("breaking"), "value", F.col("user_id").cast("string").alias("username"), "props")
+    raw = e.select(F.col("event_id").alias("id"), F.to_json(F.struct(inner.alias("x"))).alias("raw_data"))
+    return V.articles(spark, d).drop("raw_data").join(raw, "id", "left")
+
+
+@query("SELECT a.id FROM articles a JOIN events e ON e.event_id = a.id WHERE e.event_type = 'error'")
 def breaking_posts(spark, d):
-    a = V.articles(spark, d)
-    return FI.breaking_posts(a.withColumn("raw_data", F.to_json(F.struct(F.struct((F.col("id") % 7 == 0).alias("breaking")).alias("x"))))).select("id")
+    return FI.breaking_posts(_with_payload(spark, d)).select("id")
+
+
+@query("SELECT a.id FROM articles a JOIN events e ON e.event_id = a.id WHERE e.event_type = 'error'")
+def breaking_posts_of_variants(spark, d):
+    return FI.breaking_posts(R.raw_to_variant(_with_payload(spark, d), "raw_data")).select("id")
+
+
+@query("SELECT a.id, round(e.value, 4) AS value, e.user_id::VARCHAR AS username, regexp_extract(e.props, '[0-9]+')::BIGINT AS k FROM articles a LEFT JOIN events e ON e.event_id = a.id")
+def raw_to_variant(spark, d):
+    rows = R.raw_to_variant(_with_payload(spark, d), "raw_data")
+    rows = R.raw_to_variant(rows.withColumn("props", P.payload_field(rows, "raw_data", "$.x.props")), "props")
+    field = lambda c, path, kind: P.payload_field(rows, c, path, kind)
+    return rows.select("id", F.round(field("raw_data", "$.x.value", "double"), 4).alias("value"), field("raw_data", "$.x.username", "string").alias("username"), field("props", "$.k", "long").alias("k"))
+
+
+@query(_TRIG + """, hot AS (SELECT t.*, coalesce(e.event_type = 'error', false) AS breaking FROM trig t LEFT JOIN events e ON e.event_id = t.id)
+ SELECT id, concat_ws(',', CASE WHEN breaking THEN 'breaking' END, CASE WHEN strong THEN 'strong_sentiment' END, CASE WHEN watch THEN 'ticker_watch' END) AS reasons FROM hot""")
+def evaluate_triggers_of_variants(spark, d):
+    return AL.evaluate_triggers(V.stories(R.raw_to_variant(_with_payload(spark, d), "raw_data")), _PARAMS).select("id", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("SELECT id, published_at::VARCHAR IS NULL AS was_missing FROM articles WHERE first_seen_at IS DISTINCT FROM published_at")
@@ -390,11 +428,11 @@ def apply_enrichment(spark, d):
     return D.apply_enrichment(a, res).select("id", "ai_summary", F.array_join("tickers", ",").alias("tickers"), "llm_sentiment")
 
 
-@query("SELECT id, CASE WHEN length(coalesce(title, '')) < 50 AND length(substr(summary, 1, 60)) >= 50 THEN substr(summary, 1, 60) ELSE title END AS summary FROM articles a")
+@query("SELECT id, CASE WHEN length(coalesce(title, '')) < 50 AND length(summary) >= 50 THEN summary ELSE title END AS summary FROM articles a")
 def merge_body(spark, d):
     a = V.articles(spark, d)
     thin = a.select("id", F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), F.col("title").alias("summary"))
-    bodies = a.select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), F.substring("summary", 1, 60).alias("body"))
+    bodies = a.select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), F.col("summary").alias("body"))
     return D.merge_body(thin, bodies).select("id", "summary")
 
 
@@ -662,17 +700,8 @@ def page_score_stats(spark, d):
     return FE.page_score_stats(_search(spark, d), "query_id").select("query_id", r6("top_score", "top_score"), "mean_score", "zero_fts", "top3_zero_fts")
 
 
-#: Names under which the queries over whole texts were asked for when the view had prefixes.
-for _name in ("search_postings", "fts_candidates", "single_group_rank", "hybrid_search"):
-    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]
-
-
 # ---- alerts ----------------------------------------------------------------------------------------------------------------
 
-_PARAMS = AL.AlertParams(lookback_min=60 * 24 * 20, watch=("TSLA", "nvda"))
-_TRIG = """, trig AS (SELECT id, first_seen_at, cluster_rep_id, (CASE WHEN llm_sentiment IS NULL THEN coalesce(abs(sentiment) >= 0.7, false) ELSE coalesce(abs(sentiment) >= 0.7 AND abs(llm_sentiment) >= 0.7 AND (sentiment >= 0) = (llm_sentiment >= 0), false) OR abs(llm_sentiment) >= 0.8 END)
-  AND cluster_size >= CASE WHEN language = 'en' THEN 2 ELSE 3 END AND cluster_size < 50 AND len(coalesce(sectors, [])) > 0 AS strong,
-  coalesce(list_has_any(list_transform(tickers, lambda x: upper(x)), ['TSLA', 'NVDA']) AND abs(sentiment) >= 0.3, false) AS watch FROM stories) """
 
 
 def _ledger(spark, d):
@@ -797,15 +826,27 @@ def normalize_posts(spark, d):
     return out.select("url", "title", "language", "summary", "source_url", "source_type", secs("published_at"), of("tweet_id").cast("long").alias("tweet_id"), of("breaking").cast("boolean").alias("breaking"))
 
 
-@query("SELECT title, url, summary FROM articles WHERE id % 3 <> 0 AND trim(title) <> ''")
+_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query(f"""SELECT {_TRIM.format('title')} AS title, url, 'https://newsapi.org/v2/everything' AS source_url, 'newsapi' AS source_type, 'en' AS language, nullif(CASE WHEN id % 4 = 1 THEN NULL ELSE {_TRIM.format('summary')} END, '') AS summary,
+ CASE WHEN id % 11 <> 0 THEN epoch(first_seen_at)::BIGINT END AS published_at, 0 AS tags, CASE WHEN id % 2 = 0 THEN source_url ELSE 'feed-' || language END AS source_name, 'everything' AS source_tag FROM articles WHERE id % 3 <> 0 AND {_TRIM.format('title')} <> ''""")
 def normalize_news_api(spark, d):
-    a = V.articles(spark, d).where("trim(title) <> ''")
+    """Titles with white space around them, removed and blank ones, answers that failed, texts in one of two fields or none, a source's name or its id."""
+    a = V.articles(spark, d)
     none = F.lit(None).cast("string")
-    item = F.struct(F.when(F.col("id") % 3 == 0, R.REMOVED).otherwise(F.col("title")).alias("title"), "url", F.col("summary").alias("description"), none.alias("content"), none.alias("publishedAt"), F.struct(none.alias("id"), F.col("source_url").alias("name")).alias("source"))
-    answers = a.select(F.lit("ok").alias("status"), F.array(item).alias("articles"))
-    out = R.normalize_news_api(answers)
-    raw = a.select("url", F.col("title").alias("t"), F.col("summary").alias("s"))
-    return out.join(raw.dropDuplicates(["url"]), "url").select(F.col("t").alias("title"), "url", F.col("s").alias("summary"))
+    item = F.struct(
+        F.when(F.col("id") % 3 == 0, R.REMOVED).otherwise(F.concat(F.lit(" \t"), F.col("title"), F.lit("\n "))).alias("title"), "url", F.when(F.col("id") % 4 > 1, F.col("summary")).alias("description"),
+        F.when(F.col("id") % 4 == 1, R.REMOVED).when(F.col("id") % 4 == 0, F.concat(F.lit("\n"), F.col("summary"))).alias("content"),
+        F.when(F.col("id") % 11 != 0, F.date_format("first_seen_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("publishedAt"),
+        F.struct(F.concat(F.lit("feed-"), F.col("language")).alias("id"), F.when(F.col("id") % 2 == 0, F.col("source_url")).otherwise("").alias("name")).alias("source"),
+    )
+    ok = a.select(F.lit("ok").alias("status"), F.array(item).alias("articles"))
+    failed = a.where("id % 2 = 0").select(F.lit("error").alias("status"), F.array(item).alias("articles"))
+    of = lambda k: F.get_json_object("raw_data", f"$.{k}")
+    out = R.normalize_news_api(ok.unionByName(failed))
+    tags = F.size("tickers") + F.size("sectors")
+    return out.select("title", "url", "source_url", "source_type", "language", "summary", secs("published_at"), tags.alias("tags"), of("_source_name").alias("source_name"), of("_source_tag").alias("source_tag"))
 
 
 _CLEAN = r"trim(regexp_replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -821,27 +862,118 @@ def normalize_feed_entries(spark, d):
     return R.normalize_feed_entries(e, feeds).select("title", "url", "summary", secs("published_at"), F.array_join("tickers", ",").alias("tickers"))
 
 
-@query(f"""SELECT 'https://www.youtube.com/post/p' || id AS url, CASE WHEN length(split_part({_STRIPPED}, chr(10), 1)) < 20 AND length(text) > 20 THEN substr({_STRIPPED}, 1, 150)
- ELSE substr(split_part({_STRIPPED}, chr(10), 1), 1, 150) END AS title, epoch(as_of)::BIGINT - 86400 * (id % 9) AS published_at FROM articles, knobs WHERE {_STRIPPED} <> ''""")
+_CHANNEL_HEAD = """CASE WHEN id % 6 = 1 THEN '🚨 ' WHEN id % 6 = 2 THEN 'Weekly plan: ' WHEN id % 6 = 3 THEN 'US market recap ' ELSE '' END"""
+
+
+@query(f"""SELECT 'https://www.youtube.com/post/p' || id AS url, CASE WHEN length(split_part(s, chr(10), 1)) < 20 AND length(t) > 20 THEN substr(s, 1, 150) ELSE substr(split_part(s, chr(10), 1), 1, 150) END AS title, t AS summary,
+ 'youtube_channel:' || source_url AS source_url, 'youtube_post' AS source_type, 'ko' AS language, epoch(as_of)::BIGINT - 86400 * (id % 9) AS published_at, 'p' || id AS post_id, source_url AS handle,
+ CASE WHEN regexp_matches(h, '^(🚨|✔|\\[속보\\]|BREAKING:|JUST IN:|UPDATE:)') THEN 'breaking' WHEN regexp_matches(h, '주간|weekly|주요 일정|Weekly') THEN 'weekly_agenda' WHEN regexp_matches(h, '미국 증시 요약|증시 요약|미국증시 요약|US market recap|market recap') THEN 'daily_recap' ELSE 'general' END AS category,
+ (id % 9) || ' days ago' AS published_time_text, CASE WHEN id % 5 <> 0 THEN 1000 + id % 7000 END AS vote_count, CASE WHEN id % 4 = 1 THEN 'big' || id WHEN id % 4 = 2 THEN 'a' || id || ',b' || id ELSE '' END AS images
+ FROM (SELECT *, {_TRIM.format('t')} AS s, substr(regexp_replace(t, '^\\s+', ''), 1, 80) AS h FROM (SELECT *, {_CHANNEL_HEAD} || text AS t FROM articles)), knobs WHERE s <> ''""")
 def normalize_channel_posts(spark, d):
+    """Posts of two text runs, with breaking, weekly and daily heads, numbers of votes with commas or none, one image, several or none."""
     from newsloom.schema import CHANNEL_POST
 
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    raw = F.to_json(F.struct(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("postId"), F.struct(F.array(F.struct("text")).alias("runs")).alias("contentText"), F.struct(F.concat((F.col("doc_id") % 9).cast("string"), F.lit(" days ago")).alias("simpleText")).alias("publishedTimeText"), F.col("source").alias("handle")))
-    posts = docs.select(F.from_json(raw, CHANNEL_POST).alias("p")).select("p.*")
-    return R.normalize_channel_posts(posts, V.as_of()).select("url", "title", secs("published_at"))
+    i = F.col("doc_id")
+    head = F.when(i % 6 == 1, "🚨 ").when(i % 6 == 2, "Weekly plan: ").when(i % 6 == 3, "US market recap ").otherwise("")
+    run = lambda c: F.struct(c.alias("text"))
+    thumb = lambda *names: F.struct(F.array(*(F.struct(F.concat(F.lit(n), i.cast("string")).alias("url")) for n in names)).alias("thumbnails"))
+    image = lambda *names: F.struct(thumb(*names).alias("image"))
+    several = F.struct(F.array(F.struct(image("small", "a").alias("backstageImageRenderer")), F.struct(image("b").alias("backstageImageRenderer"))).alias("images"))
+    label = F.when(i % 5 != 0, F.concat(F.format_number(1000 + i % 7000, 0), F.lit(" likes"))).otherwise("no likes")
+    raw = F.to_json(F.struct(
+        F.concat(F.lit("p"), i.cast("string")).alias("postId"), F.struct(F.array(run(head), run(F.col("text"))).alias("runs")).alias("contentText"),
+        F.struct(F.concat((i % 9).cast("string"), F.lit(" days ago")).alias("simpleText")).alias("publishedTimeText"), F.col("source").alias("handle"),
+        F.struct(F.struct(F.struct(label.alias("label")).alias("accessibilityData")).alias("accessibility")).alias("voteCount"),
+        F.struct(F.when(i % 4 == 1, image("small", "big")).alias("backstageImageRenderer"), F.when(i % 4 == 2, several).alias("postMultiImageRenderer")).alias("backstageAttachment"),
+    ))
+    posts = spark.read.parquet(f"{d}/documents.parquet").select(F.from_json(raw, CHANNEL_POST).alias("p")).select("p.*")
+    out = R.normalize_channel_posts(posts, V.as_of())
+    of = lambda k: F.get_json_object("raw_data", f"$.youtube.{k}")
+    return out.select(
+        "url", "title", "summary", "source_url", "source_type", "language", secs("published_at"), of("post_id").alias("post_id"), of("handle").alias("handle"), of("category").alias("category"),
+        of("published_time_text").alias("published_time_text"), of("vote_count").cast("bigint").alias("vote_count"), F.array_join(F.from_json(of("image_urls"), "array<string>"), ",").alias("images"),
+    )
+
+
+@query(_BODY + r""", met AS (SELECT page_id, url, CASE WHEN page_id % 7 = 3 THEN 'https://x.example/login?next=' || page_id ELSE url END AS final_url, CASE WHEN page_id % 10 = 9 THEN 404 ELSE 200 END AS http_status,
+  CASE WHEN page_id % 8 = 5 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS kind, CASE WHEN page_id % 9 = 4 THEN '<p>로그인 ' || page_id || ' please</p>' ELSE html END AS html, CASE WHEN page_id % 9 = 4 THEN '로그인 ' || page_id || ' please' ELSE body END AS body FROM bodies),
+seen AS (SELECT *, CASE WHEN page_id % 7 = 3 THEN 'login_path' WHEN kind LIKE 'text/html%' AND page_id % 9 = 4 THEN 'login_words' ELSE '' END AS message,
+  CASE WHEN html ILIKE '%<title%</title>%' THEN trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) END AS meta,
+  list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: length(x) BETWEEN 10 AND 200)[1] AS line FROM met),
+done AS (SELECT *, CASE WHEN http_status >= 400 THEN 'error' WHEN kind NOT LIKE 'text/html%' THEN 'unsupported' WHEN message <> '' THEN 'login_required' WHEN length(body) < 40 THEN 'error' ELSE 'ok' END AS status FROM seen)
+SELECT page_id, final_url AS url, status, message, length(body) AS extracted_len, CASE WHEN status = 'ok' THEN lower(regexp_extract(html, '(?i)<html[^>]*lang=.([a-z]+)', 1)) END AS language, CASE WHEN status = 'ok' THEN body END AS summary,
+  CASE WHEN status = 'ok' THEN substr(CASE WHEN line IS NOT NULL AND (coalesce(meta, '') = '' OR length(regexp_replace(meta, '[^|·»›]', '', 'g')) >= 2 OR length(meta) <= 10) THEN line ELSE coalesce(nullif(meta, ''), line, '(untitled)') END, 1, 500) END AS title FROM done""")
+def ingest_pages(spark, d):
+    """Pages as they are, and some behind a log-in path or words, of another type, or with an error's status."""
+    i, p = F.col("page_id"), V.pages(spark, d)
+    p = p.withColumns({
+        "final_url": F.when(i % 7 == 3, F.concat(F.lit("https://x.example/login?next="), i.cast("string"))).otherwise(F.col("url")), "http_status": F.when(i % 10 == 9, 404).otherwise(200),
+        "content_type": F.when(i % 8 == 5, "application/pdf").otherwise("text/html; charset=utf-8"), "html": F.when(i % 9 == 4, F.concat(F.lit("<p>로그인 "), i.cast("string"), F.lit(" please</p>"))).otherwise(F.col("html")),
+        "url": i.cast("string"),
+    })
+    asked = F.get_json_object("raw_data", "$.url_ingest.requested_url").cast("bigint")
+    return R.ingest_pages(p, V.as_of()).select(asked.alias("page_id"), "url", "status", "message", F.col("extracted_len").cast("bigint").alias("extracted_len"), "language", "summary", "title")
+
+
+@query("""SELECT page_id, title, (length(regexp_replace(title, '[^|·»›]', '', 'g')) >= 2 OR length(title) <= 10) AS generic FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Home | ' || page_id || ' | News' WHEN page_id % 3 = 1 THEN '  short ' ELSE trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) END AS title FROM pages)""")
+def generic_titles(spark, d):
+    i = F.col("page_id")
+    t = F.when(i % 3 == 0, F.concat(F.lit("Home | "), i.cast("string"), F.lit(" | News"))).when(i % 3 == 1, "  short ").otherwise(X.html_title(F.col("html")))
+    return V.pages(spark, d).select("page_id", t.alias("title"), X.is_generic_title(t).alias("generic"))
+
+
+@query("SELECT id, list_filter(list_transform(string_split(summary, chr(10)), lambda x: trim(x, E' \\t\\r')), lambda x: length(x) BETWEEN 10 AND 200)[1] AS line FROM articles")
+def first_meaningful_line(spark, d):
+    return V.articles(spark, d).select("id", X.first_meaningful_line(F.col("summary")).alias("line"))
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN 'https://long.example/' || id WHEN id % 3 = 1 THEN 'https://t.example/' || id END AS linked_url FROM articles")
+def first_expanded_url(spark, d):
+    """Links of a post: without either address, with a short one only, with both."""
+    i = F.col("id")
+    to = lambda host: F.concat(F.lit(f"https://{host}.example/"), i.cast("string"))
+    link = lambda short, long: F.struct(short.alias("url"), long.alias("expanded_url"))
+    none = F.lit(None).cast("string")
+    urls = F.when(i % 3 == 0, F.array(link(none, F.lit("")), link(to("t"), to("long")))).when(i % 3 == 1, F.array(link(none, none), link(to("t"), none), link(to("u"), to("v")))).otherwise(F.array(link(F.lit(""), none)))
+    return V.articles(spark, d).select("id", X.first_expanded_url(urls).alias("linked_url"))
 
 
-@query(_BODY + """SELECT url, CASE WHEN length(body) < 40 THEN 'error' ELSE 'ok' END AS status, lower(regexp_extract(html, '(?i)<html[^>]*lang=.([a-z]+)', 1)) AS language, length(body) AS extracted_len FROM bodies WHERE length(body) >= 40
- UNION ALL SELECT url, 'error', NULL, length(body) FROM bodies WHERE length(body) < 40""")
-def ingest_pages(spark, d):
-    return R.ingest_pages(V.pages(spark, d), V.as_of()).select("url", "status", "language", F.col("extracted_len").cast("bigint").alias("extracted_len"))
+@query("SELECT id, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN 1000 * id + 7 WHEN id % 4 = 2 THEN id % 900 ELSE NULL END AS votes FROM articles")
+def vote_count(spark, d):
+    i = F.col("id")
+    label = F.when(i % 4 == 0, "no votes").when(i % 4 == 1, F.concat(F.format_number(1000 * i + 7, 0), F.lit(" likes"))).when(i % 4 == 2, F.concat(F.lit("likes: "), (i % 900).cast("string")))
+    return V.articles(spark, d).select("id", X.vote_count(label).alias("votes"))
+
+
+@query("SELECT id, concat_ws('. ', nullif(title, ''), CASE WHEN id % 3 <> 0 THEN summary END) AS text FROM articles")
+def embedding_text(spark, d):
+    return V.articles(spark, d).select("id", X.embedding_text(F.col("title"), F.when(F.col("id") % 3 != 0, F.col("summary")).otherwise("")).alias("text"))
+
+
+@query("SELECT id, CASE WHEN id % 4 = 0 OR tickers IS NULL THEN '' ELSE array_to_string(list_transform(tickers, lambda x: upper(x)), ',') END AS tickers, CASE WHEN id % 4 = 0 OR id % 4 = 3 OR sectors IS NULL THEN '' ELSE array_to_string(sectors, ',') END AS sectors FROM articles")
+def parse_tag_metadata(spark, d):
+    """Answers that are JSON, hold a brace block, or hold none; sectors left out in some."""
+    i = F.col("id")
+    json = F.to_json(F.struct("tickers", F.when(i % 4 != 3, F.col("sectors")).alias("sectors")))
+    raw = F.when(i % 4 == 0, "no answer").when(i % 4 == 1, json).otherwise(F.concat(F.lit("Here it is: "), json, F.lit(" as asked")))
+    out = V.articles(spark, d).select("id", S.parse_tag_metadata(raw).alias("p"))
+    of = lambda c: F.coalesce(F.array_join(f"p.{c}", ","), F.lit("")).alias(c)
+    return out.select("id", of("tickers"), of("sectors"))
+
+
+@query("SELECT id, lower(source_url) || ',' || language || ',x' || id AS names, upper(language) AS tags FROM articles")
+def csv_list(spark, d):
+    """Names with marks, spaces, blanks and mixed case."""
+    text = F.concat(F.lit(" @"), F.upper("source_url"), F.lit(" ,, @@"), F.col("language"), F.lit(" ,  ,X"), F.col("id").cast("string"))
+    return V.articles(spark, d).select("id", F.array_join(X.csv_list(text), ",").alias("names"), F.array_join(X.csv_list(F.concat(F.col("language"), F.lit(","))  , upper=True), ",").alias("tags"))
 
 
-@query("SELECT source_type, count(*) AS n FROM articles WHERE source_type IN ('rss', 'api') GROUP BY 1")
+@query("SELECT id, source_type, title, CASE WHEN source_type = 'api' THEN summary END AS summary, CASE WHEN source_type = 'rss' THEN id END AS entry FROM articles WHERE source_type IN ('rss', 'api')")
 def union_sources(spark, d):
     a = V.articles(spark, d)
-    return R.union_sources(a.where("source_type = 'rss'").drop("summary"), a.where("source_type = 'api'")).groupBy("source_type").agg(F.count("*").alias("n"))
+    rss = a.where("source_type = 'rss'").select("title", "source_type", "id", F.col("id").alias("entry"))
+    return R.union_sources(rss, a.where("source_type = 'api'").select("id", "title", "summary", "source_type")).select("id", "source_type", "title", "summary", "entry")
 
 
 # ---- repairs and models ----------------------------------------------------------------------------------------------------

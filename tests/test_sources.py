@@ -82,3 +82,16 @@ def test_readers(spark, tmp_path):
     assert R.read_articles(spark, str(tmp_path / "a")).count() == 0
     spark.createDataFrame([(1, "u", 2, "like", NOW)], schema.FEEDBACK).write.parquet(str(tmp_path / "f"))
     assert R.read_feedback(spark, str(tmp_path / "f")).count() == 1 and R.read_feedback(spark, str(tmp_path / "f"), stream=True).isStreaming
+
+
+def test_payload_fields_of_text_and_variant(spark):
+    from newsloom.functions.payload import is_breaking_payload, payload_field, payload_schema
+    from newsloom.sources.records import raw_to_variant
+
+    rows = [(1, '{"x": {"breaking": true, "n": 5}}'), (2, '{"youtube": {"category": "breaking"}}'), (3, '{"x": {"breaking": "maybe", "n": "7"}}'), (4, None), (5, ""), (6, "no json"), (7, '{"x": 3}')]
+    df = spark.createDataFrame(rows, "id long, raw_data string")
+    for kind in (df, raw_to_variant(df, "raw_data")):
+        out = {r.id: (r.b, r.n) for r in kind.select("id", is_breaking_payload(kind).alias("b"), payload_field(kind, "raw_data", "$.x.n", "long").alias("n")).collect()}
+        assert out == {1: (True, 5), 2: (True, None), 3: (False, 7), 4: (False, None), 5: (False, None), 6: (False, None), 7: (False, None)}
+    schema = payload_schema(raw_to_variant(df.where("id < 3"), "raw_data")).first().schema
+    assert "breaking: BOOLEAN" in schema and "category: STRING" in schema

@@ -22,11 +22,11 @@ def test_words_after_the_first_2000_characters(spark, tmp_path):
         for w in split(r.title) + split(r.summary) + split(r.ai_summary):
             count[w] = count.get(w, 0) + 1
     run = lambda name: Q.QUERIES[name](spark, str(tmp_path)).collect()
-    assert {r.term: r.n for r in run("search_postings_whole")} == count and "last3" in count
-    assert {(r.query_id, r.id) for r in run("fts_candidates_whole")} == {(r.query_id, r.id) for r in run("cover_density_rank")} == {(0, 3), (1, 4)}
-    assert {(r.query_id, r.id) for r in run("single_group_rank_whole")} == {(0, 3), (1, 4)}
+    assert {r.term: r.n for r in run("search_postings")} == count and "last3" in count
+    assert {(r.query_id, r.id) for r in run("fts_candidates")} == {(r.query_id, r.id) for r in run("cover_density_rank")} == {(0, 3), (1, 4)}
+    assert {(r.query_id, r.id) for r in run("single_group_rank")} == {(0, 3), (1, 4)}
     long = lambda t: [w for w in split(t) if len(w) > 1]
     pairs = {i: len({*zip(long(t), long(t)[1:])}) for i, t in texts.items()}
     assert {r.id: r.shingles for r in run("body_shingle_counts")} == pairs
     assert all(r.summary.endswith(" end") for r in run("normalize_feed_entries"))
-    assert {(r.query_id, r.id) for r in run("hybrid_search_whole") if r.fts_score > 0} == {(0, 3), (1, 4)}
+    assert {(r.query_id, r.id) for r in run("hybrid_search") if r.fts_score > 0} == {(0, 3), (1, 4)}
