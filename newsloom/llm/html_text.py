@@ -1,9 +1,12 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words score by the element that they stand in, tags score below zero; the contiguous run
-with the greatest sum, found by one scan, is the content. The scores are log-odds from labelled pages: those that
-mark their article by an ``article`` or ``main`` element, up to ``SAMPLE_PAGES`` of them. Inside the run, elements that are never article text
-(scripts, forms, menus, adverts, reader comments and so on) are left out.
+A page is a sequence of words and tags. Words score by where they stand, tags score below zero; the contiguous run with the greatest sum, found by one scan, is the content.
+Sums are taken of each element too: those whose words sum up below zero, such as an advert or reader comments in the middle of an article, are left out.
+
+The scores are log-odds from labelled pages: those that mark their article by an ``article`` or ``main`` element, up to ``SAMPLE_PAGES`` of them, with every word counted inside
+or outside. A word's score is that of its block's element, or less where one of the classes, ids, roles or sections that it lies in scores less, and that of the
+block's shape: its length and whether it is links, which is all that is known of classes that no labelled page had. An element with an unknown class counts ``UNKNOWN_CLASS`` of the element's score.
+What HTML defines as no article text, and plain names of such parts, start with ``PRIOR_WORDS`` words counted outside; labelled pages outweigh them. Only elements that are never shown are left out by rule.
 """
 
 from __future__ import annotations
@@ -18,45 +21,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_PAGES = 400
-WORD_LIMIT, TAG_BASE, TAG_LIMIT, HIDDEN_TAG = 3.0, 0.3, 4.0, 0.05
+LABEL_LIMIT, SHAPE_LIMIT, TAG_BASE, TAG_LIMIT = 4.0, 2.0, 0.3, 1.0
+BASE, UNKNOWN_CLASS, PRIOR_WORDS, SEEN_WORDS, GAP = 0.5, 0.4, 400, 5, 5.0
 
 #: Kinds of HTML elements.
 RAW = "script style textarea title noscript template iframe svg"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
-OUTSIDE = "nav footer aside form script style textarea title noscript template iframe svg head button select dialog menu"
-_RAW, _VOID, _INLINE, _OUTSIDE = (frozenset(x.split()) for x in (RAW, VOID, INLINE, OUTSIDE))
-#: Words in a class, id or role that mark what isn't the article.
-_MARKED = re.compile(
-    r"(?i)(?<![a-z])(ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|menu\w*|nav\w*|sidebar\w*|side-bar|footer\w*|masthead|comments?|"
-    r"disqus|share|social|related|recommend\w*|newsletter|subscribe|breadcrumbs?|popup|modal|widget\w*|pagination)(?![a-z])"
+HIDDEN = "script style textarea title noscript template iframe svg head select"
+SECTIONS = "nav footer aside form header button dialog menu article main"
+#: Names in a class, id or role that start with words counted outside, as the sections but article and main do.
+PRIOR = (
+    "ad ads advert advertisement adverts sponsored promo banner cookie cookies cookie-banner cookie-notice cookie-consent consent notice menu nav navbar navigation sidebar side-bar "
+    "footer masthead comment comments user-comments comment-list disqus_thread share share-buttons social social-share related related-articles related-posts recommended "
+    "newsletter newsletter-signup subscribe breadcrumb breadcrumbs popup modal widget pagination site-header site-footer page-header page-footer complementary contentinfo search"
 )
+_RAW, _VOID, _INLINE, _HIDDEN, _SECTIONS = (frozenset(x.split()) for x in (RAW, VOID, INLINE, HIDDEN, SECTIONS))
 _TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _MARK = re.compile(r"(?i)(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _SPACE = re.compile(r"\s+")
 
 
-def tokens(html: str) -> list[tuple[str, str, str, bool, bool]]:
-    """(kind, name, text, outside, article) in page order: kind is 'w' for text, '<' or '>' for tags.
+class Element:
+    """An open element: its name, where it stands, and the keys of the classes, ids, roles and sections that it lies in."""
 
-    ``name`` is the element with its first class; ``outside`` tells text that is never the article's,
-    ``article`` whether an article or main element is open.
-    """
-    out: list[tuple[str, str, str, bool, bool]] = []
-    stack: list[tuple[str, str, bool]] = []
-    articles = at = 0
-    hidden = 0
+    __slots__ = ("name", "keys", "classed", "hidden", "article", "block", "linked")
+
+    def __init__(self, name: str, names: list[str], parent: Element | None):
+        self.name, self.classed = name, bool(names)
+        self.article = name in ("article", "main") or parent is not None and parent.article
+        own = [f".{n.lower()}" for n in names]
+        if name in _SECTIONS and not (name == "header" and parent is not None and parent.article):
+            own.append(f"#{name}")
+        self.keys = (parent.keys if parent is not None else ()) + tuple(own)
+        self.hidden = name in _HIDDEN or parent is not None and parent.hidden
+        self.block = self if name not in _INLINE or parent is None else parent.block
+        self.linked = name == "a" or name in _INLINE and parent is not None and parent.linked
+
+
+_PAGE = Element("html", [], None)
+
+
+def tokens(html: str) -> list[tuple[str, Element, str]]:
+    """(kind, element, text) in page order: kind is 'w' for text, '<' and '>' for tags that begin and end an element, '-' for those of empty elements."""
+    out: list[tuple[str, Element, str]] = []
+    stack: list[Element] = []
+    at = 0
 
     def text(s: str) -> None:
         if s:
-            out.append(("w", stack[-1][1] if stack else "", s, hidden > 0, articles > 0))
+            out.append(("w", stack[-1] if stack else _PAGE, s))
 
     def close(n: int) -> None:
-        nonlocal articles, hidden
         while len(stack) > n:
-            name, _, out_here = stack.pop()
-            articles -= name in ("article", "main")
-            hidden -= out_here
+            out.append((">", stack.pop(), ""))
 
     low = ""
     while m := _TAG.search(html, at):
@@ -68,30 +86,26 @@ def tokens(html: str) -> list[tuple[str, str, str, bool, bool]]:
         name = name.lower()
         if slash:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    out.append((">", stack[i][1], "", hidden > 0, articles > 0))
+                if stack[i].name == name:
                     close(i)
                     break
             continue
-        marks = " ".join(next(filter(None, x), "") for x in _MARK.findall(attrs)) if attrs and "=" in attrs else ""
+        names = " ".join(next(filter(None, x), "") for x in _MARK.findall(attrs)).split() if attrs and "=" in attrs else []
         if name not in _INLINE and name not in _VOID:
             for i in range(len(stack) - 1, -1, -1):  # a new block ends an open paragraph and the inline elements in it
-                if stack[i][0] == "p":
+                if stack[i].name == "p":
                     close(i)
                     break
-                if stack[i][0] not in _INLINE:
+                if stack[i].name not in _INLINE:
                     break
-            if name == "li" and stack and stack[-1][0] == "li":
+            if name == "li" and stack and stack[-1].name == "li":
                 close(len(stack) - 1)
-        label = f"{name}.{marks.split()[0]}" if marks.split() else name
+        element = Element(name, names, stack[-1] if stack else None)
         if name in _VOID or attrs.rstrip().endswith("/") and name not in _RAW:
-            out.append(("<", label, "", hidden > 0, articles > 0))
+            out.append(("-", element, ""))
             continue
-        out_here = name in _OUTSIDE or (name not in ("html", "body", "article", "main") and bool(marks) and bool(_MARKED.search(marks))) or (name == "header" and not articles)
-        stack.append((name, label, out_here))
-        articles += name in ("article", "main")
-        hidden += out_here
-        out.append(("<", label, "", hidden > 0, articles > 0))
+        stack.append(element)
+        out.append(("<", element, ""))
         if name in _RAW:  # up to its own end tag, whatever is inside
             low = low or html.lower()
             end = low.find(f"</{name}", at)
@@ -100,32 +114,82 @@ def tokens(html: str) -> list[tuple[str, str, str, bool, bool]]:
                 text(html[at:end])
             at = end
     text(html[at:])
+    close(0)
+    return out
+
+
+def shown_blocks(parts: list[tuple[str, Element, str]]) -> list[tuple[list[int], int, Element, bool]]:
+    """Blocks of text that is shown: the places of their words' tokens, the number of words, the element, and whether most words are links."""
+    out: list[tuple[list[int], int, Element, bool]] = []
+    held: list[int] = []
+    count = links = 0
+    for i, (kind, element, s) in enumerate(parts):
+        if kind == "w":
+            if not element.hidden and (n := len(s.split())):
+                if held and parts[held[0]][1].block is not element.block:
+                    out.append((held, count, parts[held[0]][1].block, 2 * links > count))
+                    held, count, links = [], 0, 0
+                held.append(i)
+                count += n
+                links += n * element.linked
+        elif held and element.name not in _INLINE:
+            out.append((held, count, parts[held[0]][1].block, 2 * links > count))
+            held, count, links = [], 0, 0
+    if held:
+        out.append((held, count, parts[held[0]][1].block, 2 * links > count))
     return out
 
 
+def block_keys(words: int, element: Element, linked: bool) -> tuple[str, str, str]:
+    """Keys of a block: the element as it is, the element by name, and the shape."""
+    flag = "~" if linked else ""
+    return f"b{element.name}{'.' if element.classed else ''}{flag}", f"e{element.name}{flag}", f"s{min(words.bit_length(), 7)}{flag}"
+
+
 def tally(html: str) -> tuple[Counter, Counter]:
-    """Words and tags by kind and name, inside and outside the page's marked article; a page without one gives none."""
+    """Words and tags by key, inside and outside the page's marked article; a page without one gives none."""
     inside, outside = Counter(), Counter()
     parts = tokens(html)
-    if any(x[4] for x in parts):
-        for kind, name, s, hidden, article in parts:
-            if not hidden:
-                (inside if article else outside)[kind + name] += len(s.split()) if kind == "w" else 1
+    if any(e.name in ("article", "main") for kind, e, _ in parts if kind == "<"):
+        for _, n, element, linked in shown_blocks(parts):
+            into = inside if element.article else outside
+            for key in {*block_keys(n, element, linked), *element.keys, "all"}:
+                into[key] += n
+        for kind, element, _ in parts:
+            if kind != "w" and not element.hidden:
+                (inside if element.article else outside)["t" + element.name] += 1
     return inside, outside
 
 
 def scores(inside: dict[str, int], outside: dict[str, int]) -> dict[str, float]:
-    """Scores by kind and name from counts inside and outside articles. Unknown ones: a word 1, a tag ``-TAG_BASE``."""
+    """Scores by key from counts inside and outside articles. A key that isn't there was met in fewer than ``SEEN_WORDS`` words."""
+    outside = Counter(outside)
+    for name in PRIOR.split():
+        outside[f".{name}"] += PRIOR_WORDS
+    for name in _SECTIONS - {"article", "main"}:
+        outside[f"#{name}"] += PRIOR_WORDS
+    within = lambda x, most: max(-most, min(most, x))
+    all_in, all_out = inside.get("all", 0) + 1, outside.get("all", 0) + 1
     score = {}
     for key in inside.keys() | outside.keys():
-        odds = math.log((inside.get(key, 0) + 0.5) / (outside.get(key, 0) + 0.5))
-        if key[0] == "w":
-            score[key] = max(-WORD_LIMIT, min(WORD_LIMIT, odds))
-        else:
-            score[key] = max(-TAG_LIMIT, min(0.0, odds)) - TAG_BASE
+        a, b = inside.get(key, 0) + 0.5, outside.get(key, 0) + 0.5
+        if key[0] == "t":
+            score[key] = within(min(0.0, math.log(a / b)), TAG_LIMIT) - TAG_BASE
+        elif key[0] == "s":
+            score[key] = within(math.log(a / all_in * all_out / b), SHAPE_LIMIT)
+        elif key != "all" and a + b > SEEN_WORDS:
+            score[key] = within(math.log(a / b), LABEL_LIMIT)
     return score
 
 
+def block_score(score: dict[str, float], words: int, element: Element, linked: bool) -> float:
+    """The score of each word of a block."""
+    own, name, shape = block_keys(words, element, linked)
+    label = score[own] if own in score and not element.classed else UNKNOWN_CLASS * score.get(name, 0.0)
+    label = min([label, *(score[k] for k in element.keys if k in score)])
+    return BASE + label + score.get(shape, 0.0)
+
+
 def weights(pages: list[str]) -> dict[str, float]:
     """Scores from some pages."""
     inside, outside = Counter(), Counter()
@@ -148,25 +212,50 @@ def best_run(values: list[float]) -> tuple[int, int]:
     return best_from, best_to
 
 
+def negative_elements(parts: list[tuple[str, Element, str]], values: list[float]) -> list[tuple[int, int, float]]:
+    """(first place, place after the last, sum) of the outermost elements whose words sum up below zero; what was found so inside an element no longer counts for it."""
+    found: list[tuple[int, int, float]] = []
+    open_: list[tuple[Element | None, int, float]] = [(None, 0, 0.0)]
+    for i, (kind, element, _) in enumerate(parts):
+        if kind == "w":
+            first, at, total = open_[-1]
+            open_[-1] = (first, at, total + values[i])
+        elif kind == "<" and element.name not in _INLINE:
+            open_.append((element, i, 0.0))
+        elif kind == ">" and open_[-1][0] is element:
+            _, at, total = open_.pop()
+            if total < 0:
+                while found and found[-1][0] > at:
+                    total += found.pop()[2]
+                found.append((at, i, total))
+            else:
+                first, before, outer = open_[-1]
+                open_[-1] = (first, before, outer + total)
+    return found
+
+
 def main_text(html: str | None, score: dict[str, float]) -> str:
-    """The best run's blocks, one a line; empty where no run scores above zero."""
+    """The best run's blocks, one a line; empty where no run scores above zero. An element that is left out costs the run around it ``GAP`` at most."""
     parts = tokens(html or "")
-    values = []
-    for kind, name, s, hidden, _ in parts:
-        if hidden:  # left out in any case: it may lie within the article, as an advert does
-            values.append(0.0 if kind == "w" else -HIDDEN_TAG)
-        elif kind == "w":
-            values.append(len(s.split()) * score.get("w" + name, 1.0))
-        else:
-            values.append(score.get(kind + name, -TAG_BASE))
+    values = [0.0 if kind == "w" or element.hidden else score.get("t" + element.name, -TAG_BASE) for kind, element, _ in parts]
+    for places, words, element, linked in shown_blocks(parts):
+        each = block_score(score, words, element, linked)
+        for i in places:
+            values[i] = each * len(parts[i][2].split())
+    gone: set[int] = set()
+    for at, end, total in negative_elements(parts, values):
+        gone.update(range(at, end))
+        for i in range(at, end):
+            values[i] *= min(1.0, GAP / -total) if parts[i][0] == "w" else 0.0
     begin, end = best_run(values)
     blocks: list[str] = []
     held: list[str] = []
-    for kind, name, s, hidden, _ in parts[begin:end]:
+    for i in range(begin, end):
+        kind, element, s = parts[i]
         if kind == "w":
-            if not hidden:
+            if not element.hidden and i not in gone:
                 held.append(s)
-        elif name.split(".", 1)[0] not in _INLINE:
+        elif element.name not in _INLINE:
             blocks.append("".join(held))
             held = []
     blocks.append("".join(held))

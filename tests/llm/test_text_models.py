@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from html import unescape
 
 import numpy as np
 
@@ -103,6 +104,52 @@ def test_html(spark):
     assert html_text.page_report(df.limit(0)).collect() == []
 
 
+PROSE = "The council met on Tuesday to talk about the new bridge over the river and the cost of it. " * 5
+CLASSES = "share-price social-policy recommended-reading comments-on-budget navigation-systems promotion-news notice-board".split()
+
+
+def labelled_pages(rng):
+    """Pages with a menu, an advert, an article and a footer."""
+    part = lambda n: " ".join(rng.choice("on it the bridge river council met and cost talk".split()) for _ in range(n))
+    for _ in range(60):
+        article = f"<h1>{part(6)}</h1>" + "".join(f"<p>{part(rng.randrange(4, 90))}</p>" for _ in range(5))
+        yield f"<html><body><nav><ul><li><a href=x>Home</a><li><a href=y>{part(1)}</a></ul></nav><div class='ad'>{part(8)}</div><article>{article}</article><footer>{part(6)}</footer></body></html>"
+
+
+def test_scores_decide(spark):
+    trained, untrained = html_text.weights(list(labelled_pages(random.Random(1)))), html_text.scores({}, {})
+    text = PROSE.strip()
+    page = "<html><body>%s</body></html>"
+    for c in CLASSES:  # names that only hold a word like those of menus and adverts
+        for body in (PROSE, f"<p>{PROSE}</p>"):
+            assert html_text.main_text(page % f"<nav><ul><li><a>Home</a></ul></nav><div class='{c}'>{body}</div><footer>All rights</footer>", trained) == text
+    # no article, menu or footer elements and no telling classes
+    bare = page % f"<div>Home News Sport Contact us</div><div>{PROSE}</div><div>Copyright 2024 of all of us</div>"
+    assert html_text.main_text(bare, trained) == text != html_text.main_text(bare, untrained)
+    cells = page % f"<table><tr><td><a href=a>One</a></td><td><a href=b>Two</a></td></tr></table><table><tr><td>{PROSE}</td></tr></table>"
+    assert html_text.main_text(cells, trained) == text
+    # adverts of an unknown class, comments and related links within the article; short paragraphs and lists after them
+    inner = f"<h1>Head of it</h1><p>{PROSE}</p><div class='zq9'>Buy this now and here.</div><p>Short.</p><aside>See also</aside><ul><li>point a<li>point b</ul><ul><li><a>More of it</a></ul><form>Send</form>"
+    comments = "<div class=comments><p>I say so too, and more of it, as long as this is.</p></div>"
+    want = f"Head of it\n{text}\nShort.\npoint a\npoint b"
+    for body in (f"<article>{inner}{comments}</article>", f"<div class=content>{inner}</div>{comments}", f"<main>{inner}</main>"):
+        assert html_text.main_text(page % body, trained) == want
+    assert "Buy" in html_text.main_text(page % f"<article>{inner}</article>", untrained)
+    df = spark.createDataFrame([(1, "u", page % f"<article>{inner}{comments}</article>")] * 3 + [(2, "u", h) for h in labelled_pages(random.Random(1))], "page_id long, url string, html string")
+    assert [r.text for r in html_text.page_report(df).where("page_id = 1").collect()] == [want] * 3
+
+
+def test_given_pages_give_their_articles(spark):
+    """All 250 pages: the text of the one article element, by plain patterns."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    raw = {r.page_id: r.html for r in pages.collect()}
+    for r in html_text.page_report(pages).collect():
+        inside = re.search(r"(?s)<article>(.*?)</article>", raw[r.page_id])[1]
+        lines = re.split(r"</?(?:p|h1|br)\b[^>]*>", inside)
+        want = [re.sub(r"\s+", " ", unescape(re.sub(r"</?b>", "", x))).strip() for x in lines]
+        assert r.text == "\n".join(x for x in want if x) and r.n_chars == len(r.text)
+
+
 def test_calibration_is_finite():
     rng = np.random.default_rng(4)
     cases = [
