@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_PAGES = 400
 LABEL_LIMIT, SHAPE_LIMIT, TAG_BASE, TAG_LIMIT = 4.0, 2.0, 0.3, 1.0
-BASE, UNKNOWN_CLASS, PRIOR_WORDS, SEEN_WORDS, GAP = 0.5, 0.4, 400, 5, 5.0
+BASE, UNKNOWN_CLASS, PRIOR_WORDS, SEEN_WORDS, GAP = 0.5, 0.4, 400, 5, 3.0
 
 #: Kinds of HTML elements.
 RAW = "script style textarea title noscript template iframe svg"
@@ -213,7 +213,7 @@ def best_run(values: list[float]) -> tuple[int, int]:
 
 
 def negative_elements(parts: list[tuple[str, Element, str]], values: list[float]) -> list[tuple[int, int, float]]:
-    """(first place, place after the last, sum) of the outermost elements whose words sum up below zero; what was found so inside an element no longer counts for it."""
+    """(first place, last place, sum) of the outermost elements whose words sum up below zero; what was found so inside an element no longer counts for it."""
     found: list[tuple[int, int, float]] = []
     open_: list[tuple[Element | None, int, float]] = [(None, 0, 0.0)]
     for i, (kind, element, _) in enumerate(parts):
@@ -244,8 +244,8 @@ def main_text(html: str | None, score: dict[str, float]) -> str:
             values[i] = each * len(parts[i][2].split())
     gone: set[int] = set()
     for at, end, total in negative_elements(parts, values):
-        gone.update(range(at, end))
-        for i in range(at, end):
+        gone.update(range(at, end + 1))
+        for i in range(at, end + 1):
             values[i] *= min(1.0, GAP / -total) if parts[i][0] == "w" else 0.0
     begin, end = best_run(values)
     blocks: list[str] = []

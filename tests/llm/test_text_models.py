@@ -112,7 +112,7 @@ def labelled_pages(rng):
     """Pages with a menu, an advert, an article and a footer."""
     part = lambda n: " ".join(rng.choice("on it the bridge river council met and cost talk".split()) for _ in range(n))
     for _ in range(60):
-        article = f"<h1>{part(6)}</h1>" + "".join(f"<p>{part(rng.randrange(4, 90))}</p>" for _ in range(5))
+        article = f"<h1>{part(6)}</h1>" + "".join(f"<p>{part(rng.choice([1, 2, 3, 9, 40, 80]))}</p>" for _ in range(8))
         yield f"<html><body><nav><ul><li><a href=x>Home</a><li><a href=y>{part(1)}</a></ul></nav><div class='ad'>{part(8)}</div><article>{article}</article><footer>{part(6)}</footer></body></html>"
 
 
