@@ -18,8 +18,15 @@ from newsloom.operators.filters import recent_window
 from newsloom.scratch import Scratch
 
 
+#: Windows of more articles than this are compared by index where ``ClusterParams.indexed`` says neither.
+INDEX_FROM = 20_000
+
+
 @dataclass(frozen=True)
 class ClusterParams:
+    """``indexed``: whether similar vectors are looked for by ``knn_edges_indexed`` (True), which meets 0.97 of the pairs at the threshold and more of closer ones, by comparing all (False), or by
+    the first from ``INDEX_FROM`` articles on (None)."""
+
     window_days: int = 7
     threshold: float = 0.80
     same_lang_cosine: float = 0.85
@@ -29,7 +36,7 @@ class ClusterParams:
     min_body_jaccard: float = 0.15
     stopwords: dict[str, tuple[str, ...]] | None = None
     block_rows: int = 2000
-    indexed: bool = False
+    indexed: bool | None = None
 
 
 def _best(parts: list[np.ndarray], k: int) -> list[np.ndarray]:
@@ -122,6 +129,12 @@ def knn_edges_indexed(vectors: DataFrame, threshold: float, k: int = 30, block_r
     return _top(pairs.groupBy("a_id", "b_id").agg(F.max("sim").alias("sim")), k)
 
 
+def similar_pairs(vectors: DataFrame, threshold: float, p: ClusterParams) -> DataFrame:
+    """The edges by the way that the parameters ask for."""
+    indexed = vectors.count() > INDEX_FROM if p.indexed is None else p.indexed
+    return (knn_edges_indexed if indexed else knn_edges)(vectors, threshold, p.knn, p.block_rows)
+
+
 def pair_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """``pairs(a_id, b_id)`` with the cosine of their vectors."""
     side = lambda x: vectors.select(F.col("id").alias(f"{x}_id"), F.col("embedding").alias(f"__{x}"))
@@ -178,7 +191,7 @@ def cluster_articles(df: DataFrame, as_of: Column, p: ClusterParams = ClusterPar
     """Assignments of all articles of the window that have a vector."""
     scratch = Scratch(df.sparkSession, "stories")
     recent = scratch.save(recent_window(df, "last_seen_at", p.window_days, "days", as_of).where("embedding is not null").select("id", "title", "summary", "ai_summary", "language", "tickers", "last_seen_at", "embedding"))
-    edges = (knn_edges_indexed if p.indexed else knn_edges)(recent, p.threshold, p.knn, p.block_rows)
+    edges = similar_pairs(recent, p.threshold, p)
     kept = scratch.save(edge_verdicts(edges, recent, p).where("reason is null"))
     return assignments(recent, kept, scratch)
 
@@ -206,7 +219,7 @@ def cluster_param_sweep(df: DataFrame, sweep: dict[str, dict], as_of: Column, p:
     scratch = Scratch(df.sparkSession, "sweep")
     sets = {name: replace(p, **change) for name, change in sweep.items()}
     recent = scratch.save(recent_window(df, "last_seen_at", p.window_days, "days", as_of).where("embedding is not null"))
-    edges = scratch.save(knn_edges(recent, min(s.threshold for s in sets.values()), p.knn, p.block_rows))
+    edges = scratch.save(similar_pairs(recent, min(s.threshold for s in sets.values()), p))
     out = None
     for name, s in sets.items():
         kept = edge_verdicts(edges.where(F.col("sim") >= s.threshold), recent, s).where("reason is null")

@@ -14,6 +14,7 @@ from newsloom.functions.text import query_tokens
 from newsloom.operators.affinity import with_boost
 from newsloom.operators.filters import SearchFilter, representatives_only, search_filters
 from newsloom.operators.feed import exclude_dismissed
+from newsloom.scratch import Scratch
 
 #: Weights of the fields A, B and C in the rank, and the least cosine of a candidate without a text match.
 FIELD_WEIGHT = {"A": 1.0, "B": 0.4, "C": 0.2}
@@ -22,6 +23,8 @@ MIN_COSINE = 0.5
 MAX_QUERIES = 10_000
 #: Rows of query terms up to which these are broadcast.
 MAX_TERMS = 1_000_000
+#: Articles times queries that are compared at a time.
+CELLS = 1 << 20
 WORD = r"(?U)[^\p{Alnum}]+"
 
 
@@ -52,23 +55,45 @@ def renewed_postings(postings: DataFrame, changed: DataFrame, **how) -> DataFram
     return postings.join(changed.select("id").distinct(), "id", "left_anti").unionByName(search_postings(changed, **how))
 
 
-def fts_candidates(expanded: DataFrame, postings: DataFrame) -> DataFrame:
-    """``(query_id, id, group_no, pos, weight, n_pos, n_groups)``: hits of documents that have a term of every group."""
-    terms = expanded.select("query_id", "group_no", F.explode("terms").alias("term"))
-    terms = terms.join(expanded.groupBy("query_id").agg(F.count("*").alias("n_groups")), "query_id")
-    # the queries' terms are the small side, which the planner can't tell from their plan
-    hits = postings.join(F.broadcast(terms) if terms.count() <= MAX_TERMS else terms, "term")
-    # hits of one document; a join with the documents that are full would read and split all texts twice
+def _query_terms(expanded: DataFrame) -> DataFrame:
+    """``(query_id, group_no, term, n_groups)``, each term of a group once."""
+    terms = expanded.select("query_id", "group_no", F.explode("terms").alias("term")).dropDuplicates(["query_id", "group_no", "term"])
+    return terms.join(expanded.groupBy("query_id").agg(F.count("*").alias("n_groups")), "query_id")
+
+
+def _hits(terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """Postings of the queries' terms, the small side, which the planner can't tell from their plan."""
+    return postings.join(F.broadcast(terms) if terms.count() <= MAX_TERMS else terms, "term")
+
+
+def full_hits(hits: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of ``hits`` of queries of several groups those of documents that have every group.
+
+    The group with the fewest hits goes first: only documents that have it are looked at further, so what is shuffled shrinks with the rarest group, however frequent the others are.
+    """
+    hits = scratch.save(hits.select("query_id", "id", "group_no", "pos", "weight", "n_pos", "n_groups"))
+    counts = hits.groupBy("query_id", "group_no").agg(F.count("*").alias("n"))
+    rarest = counts.groupBy("query_id").agg(F.min_by("group_no", F.struct("n", "group_no")).alias("group_no"), F.count("*").alias("found"))
+    able = scratch.save(hits.join(F.broadcast(rarest), ["query_id", "group_no"]).where("found = n_groups").select("query_id", "id").distinct())  # rarest: one row a query
+    hits = hits.join(able, ["query_id", "id"], "left_semi")
     one = Window.partitionBy("query_id", "id")
     bit = F.when(F.col("group_no") < 63, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("group_no").cast("int")))  # a query's first 63 groups
     got = F.bit_count(F.coalesce(F.bit_or(bit).over(one), F.lit(0).cast("long"))) + F.size(F.collect_set(F.when(F.col("group_no") >= 63, F.col("group_no"))).over(one))
-    return hits.withColumn("got", got).where("got = n_groups").select("query_id", "id", "group_no", "pos", "weight", "n_pos", "n_groups")
+    return hits.withColumn("got", got).where("got = n_groups").drop("got")
+
+
+def fts_candidates(expanded: DataFrame, postings: DataFrame) -> DataFrame:
+    """``(query_id, id, group_no, pos, weight, n_pos, n_groups)``: hits of documents that have a term of every group. A query of one group needs no shuffle for that."""
+    terms = _query_terms(expanded)
+    one, many = terms.where("n_groups = 1"), terms.where("n_groups > 1")
+    out = _hits(one, postings).select("query_id", "id", "group_no", "pos", "weight", "n_pos", "n_groups")
+    return out if many.isEmpty() else out.unionByName(full_hits(_hits(many, postings), Scratch(postings.sparkSession, "hits")))
 
 
 def single_group_rank(hits: DataFrame) -> DataFrame:
     """The rank where a query is one group: each hit is a cover by itself, so the weights add up; damped by 1 + log of the document's length."""
     weight = F.sum(F.create_map(*(x for k, v in FIELD_WEIGHT.items() for x in (F.lit(k), F.lit(v))))[F.col("weight")])
-    one = hits.where("n_groups = 1").dropDuplicates(["query_id", "id", "pos"])
+    one = hits.where("n_groups = 1")
     return one.groupBy("query_id", "id").agg((weight / (1 + F.log(F.max("n_pos").cast("double")))).alias("fts_raw"))
 
 
@@ -107,6 +132,17 @@ def cover_density_rank(hits: DataFrame) -> DataFrame:
     return single_group_rank(hits).unionByName(many.select("query_id", "id", rank("hits", "groups", "size").alias("fts_raw")))
 
 
+def text_scores(expanded: DataFrame, postings: DataFrame) -> DataFrame:
+    """``cover_density_rank`` of the candidates, with the postings read once for queries of one group and, where there are others, once for these."""
+    terms = _query_terms(expanded)
+    one, many = terms.where("n_groups = 1"), terms.where("n_groups > 1")
+    out = single_group_rank(_hits(one, postings))
+    if many.isEmpty():
+        return out
+    hits = full_hits(_hits(many, postings), Scratch(postings.sparkSession, "hits"))
+    return cover_density_rank(hits) if one.isEmpty() else out.unionByName(cover_density_rank(hits))
+
+
 def query_matrix(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted query ids, and their unit vectors as rows; a missing vector is zeros. Refuses more than ``MAX_QUERIES``."""
     rows = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").limit(MAX_QUERIES + 1).collect()
@@ -128,9 +164,10 @@ def candidates(pool: DataFrame, text: DataFrame, queries: DataFrame) -> DataFram
     hits = text.groupBy("id").agg(F.collect_list(F.struct(F.col("query_id").cast("long").alias("query_id"), "fts_raw")).alias("hits"))  # at most one a query
 
     def run(batches):
+        step = max(16, CELLS // max(len(ids), 1))
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
                 lists = part.column("embedding")
                 rows = np.flatnonzero(np.asarray(pc.is_valid(lists)))
                 cos = np.zeros((part.num_rows, len(ids)))
@@ -154,7 +191,7 @@ def candidates(pool: DataFrame, text: DataFrame, queries: DataFrame) -> DataFram
 def hybrid_search(
     articles: DataFrame, postings: DataFrame, queries: DataFrame, lexicon: DataFrame, as_of: Column, weights: tuple[float, float, float] = (0.6, 0.3, 0.1),
     filters: SearchFilter | None = None, page: int = 1, size: int = 20, dedup: bool = False, hide_dismissed: bool = True, feedback: DataFrame | None = None,
-    affinity: DataFrame | None = None, user: str | None = None, rank=cover_density_rank,
+    affinity: DataFrame | None = None, user: str | None = None, rank=None,
 ) -> DataFrame:
     """``queries(query_id, text, vector)`` -> a page of results per query with its scores and ``total``.
 
@@ -166,7 +203,8 @@ def hybrid_search(
         pool = pool.where(representatives_only())
     if hide_dismissed and feedback is not None and user is not None:
         pool = exclude_dismissed(pool, feedback, user)
-    text = rank(fts_candidates(expand_queries(queries, lexicon), postings))
+    expanded = expand_queries(queries, lexicon)
+    text = text_scores(expanded, postings) if rank is None else rank(fts_candidates(expanded, postings))
     rows = candidates(pool.select("id", "last_seen_at", "embedding"), text, queries)
     rows = rows.withColumn("recency", recency(F.col("last_seen_at"), as_of))
     top = rows.groupBy("query_id").agg(F.max("fts_raw").alias("best"), F.count("*").alias("total"))
