@@ -3,13 +3,14 @@
 A document is the set of its 4-word shingles. The sets are cut by hash into parts, and each part is reduced to the
 XOR of its shingles' hashes: the document's parity sketch. One shingle in either set but not in both changes one part,
 so the number of differing parts is never above the symmetric difference. Two sets that reach the threshold differ by at most
-``max_diff`` shingles, so with two parts more than that they agree on at least two (pigeonhole). Parts are numbered per size
-band, and a document takes part in each band in which a partner of its size can fall. The candidates are verified on
+``max_diff`` shingles, so with two filled parts more than that they agree on at least two (pigeonhole); only sets with fewer filled parts count empty ones, and parts are
+so many that hardly any set does. Parts are numbered per size band, and a document takes part in each band in which a partner of its size can fall. The candidates are verified on
 the exact sets. Nothing is sampled or capped, so no link is lost.
 
-Cost: about 0.37 sketch rows per distinct shingle, one shuffle. Sets that are equal are merged first, so copies cost one row each.
+Cost: about 0.4 sketch rows per distinct shingle, one shuffle. Sets that are equal are merged first, so copies cost one row each.
 Links within a group of near copies are tried with its least member and then with a few others first; pairs are formed only between
-members that this left in different components. A part that more than ``HOT`` of these share is split by a second part that a pair agrees on.
+members that this left in different components. A part that more than ``HOT`` of these share is split by a second part that a pair agrees on; where keys are other than
+parts and a pair may share just one, by size class and by blocks of the bit sketch: of one block more than sets of the class may differ in, a pair agrees on at least one.
 
 Sets are told apart by fingerprints of 128 bits: XORs of two scrambles of the shingles' hashes, and for sets of up to ``SMALL`` shingles a digest of the words in
 place of the second, as a single shingle's 64 bits would be too few: among 10^10 different short texts 2.7 pairs would meet by chance. Larger sets
@@ -68,18 +69,23 @@ def bands_of(n: int, num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
+def parts_of(diff: int) -> int:
+    """Parts of a sketch for so many differences: two more, and as many again as leave few sets with fewer than ``diff + 2`` filled ones."""
+    return diff + 2 + max(60 // diff, 4 + diff // 32)
+
+
 def parity_keys(s: np.ndarray, num: int = NUMERATOR, den: int = DENOMINATOR) -> np.ndarray:
     """The parts of a sorted set's sketches in all its bands, each as one 64-bit key."""
     keys = []
     value = mix(s + np.uint64(0x632BE59BD9B4E019))
     high = s >> np.uint64(32)
     for k, diff in bands_of(len(s), num, den):
-        parts = diff + 2 + diff // 32
+        parts = parts_of(diff)
         part = (high * np.uint64(parts)) >> np.uint64(32)  # in order, as the set is sorted
         at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         xor = np.bitwise_xor.reduceat(value, at)
         part = part[at]
-        if len(at) <= diff + 1:  # so few filled parts that one or none of them may agree: empty ones count too
+        if len(at) <= diff + 1:  # so few filled parts that one or none of them may agree with those of another set as poor: empty ones count too
             part = np.arange(parts, dtype=np.uint64)
             full = np.zeros(parts, dtype=np.uint64)
             full[((high * np.uint64(parts)) >> np.uint64(32))[at].astype(np.int64)] = xor
@@ -173,14 +179,15 @@ def linked_sets(one: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scrat
     links = scratch.save(links if also is None else links.union(also))
     # what the least members left apart is tried with a few more members of each key, and only then pair by pair
     labels = component_labels(links, scratch)
-    apart = scratch.save(open_members(members, labels, one))
-    for pairs_of in (rep_pairs, lambda *x: cross_pairs(*x, one if two else None, scratch)):
+    apart = scratch.save(open_members(members, labels, one, scratch))
+    for step in ("a few", "all"):
         if apart.isEmpty():
             break
-        links = scratch.save(links.union(_verified(pairs_of(apart, num, den), sets, num, den)))
+        pairs = rep_pairs(apart, num, den, scratch) if step == "a few" else cross_pairs(apart, num, den, one if two else None, scratch)
+        links = scratch.save(links.union(_verified(pairs, sets, num, den)))
         labels = component_labels(links, scratch)
-        if pairs_of is rep_pairs:
-            was, apart = apart, scratch.save(open_members(apart.select("key", "id"), labels, one))
+        if step == "a few":
+            was, apart = apart, scratch.save(open_members(apart.select("key", "id"), labels, one, scratch))
             scratch.drop(was)
     for used in (members, sets, apart):
         scratch.drop(used)
@@ -194,7 +201,8 @@ def jaccard_components(
 
     Two documents link when ``den * |A & B| >= num * |A | B|``; a component's id is its least id.
     A null or blank text has no shingles and links with nothing; rows with a null id keep a null component and link nothing.
-    Rows with one id are one document: all of them are in one component, also where their texts differ. An empty table gives no rows; other columns are ignored.
+    Rows with one id are one document: all of them that have shingles are in one component, also where their texts differ; a blank row beside them links with nothing and
+    keeps its id. An empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     table = scratch.save(set_table(docs, id_col, text_col, k, num, den))
@@ -227,10 +235,11 @@ def jaccard_components(
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
-def open_members(members: DataFrame, labels: DataFrame, one: DataFrame) -> DataFrame:
+def open_members(members: DataFrame, labels: DataFrame, one: DataFrame, scratch: Scratch) -> DataFrame:
     """``(key, id, comp, n, bits)`` of the keys whose members are in more than one component."""
     comp = members.select("key", "id").join(labels.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_keys = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    # written, so that the join with it can be split where a key is hot
+    open_keys = scratch.save(comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"))
     return comp.join(open_keys, "key", "left_semi").join(one.select("id", "n", "bits"), "id").select("key", "id", "comp", "n", "bits")
 
 
@@ -245,20 +254,64 @@ def _side(apart: DataFrame, x: str) -> DataFrame:
     return apart.select(F.col("key").alias(f"{x}_key"), *(F.col(c).alias(f"{x}_{c}") for c in ("id", "comp", "n", "bits")))
 
 
-def rep_pairs(apart: DataFrame, num: int, den: int) -> DataFrame:
+def rep_pairs(apart: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Each member of a key with ``REPS`` members of it: as many pairs as members, not as pairs of members."""
     member = F.struct(*(F.col(c).alias(f"b_{c}") for c in ("id", "comp", "n", "bits")))
-    reps = apart.groupBy(F.col("key").alias("b_key")).agg(F.array(*(F.min_by(member, F.xxhash64("id", F.lit(s))) for s in range(REPS))).alias("reps"))
+    reps = scratch.save(apart.groupBy(F.col("key").alias("b_key")).agg(F.array(*(F.min_by(member, F.xxhash64("id", F.lit(s))) for s in range(REPS))).alias("reps")))
     tried = _side(apart, "a").join(reps, F.col("a_key") == F.col("b_key")).select("a_id", "a_comp", "a_n", "a_bits", F.explode(F.array_distinct("reps")).alias("r"))
     pairs = tried.select("a_id", "a_comp", "a_n", "a_bits", "r.*").where(near(num, den))
     return pairs.select(F.least("a_id", "b_id").alias("u"), F.greatest("a_id", "b_id").alias("v")).distinct()
 
 
+@lru_cache(maxsize=None)
+def class_from(c: int, num: int, den: int) -> int:
+    """Least size of a size class: partners of the sets of one class are in it or in a neighbouring one."""
+    return 1 if c <= 0 else class_from(c - 1, num, den) * den // num + 1
+
+
+def class_blocks(c: int, num: int, den: int) -> int:
+    """Blocks of a bit sketch for pairs whose smaller set is of size class c: one more than they may differ in."""
+    return max_diff(class_from(c + 1, num, den) + class_from(c + 2, num, den) - 2, num, den) + 1
+
+
+def sketch_blocks(n: int, bits: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of a set's size classes and blocks of its bit sketch: two sets that link share at least one."""
+    own = 0
+    while class_from(own + 1, num, den) <= n:
+        own += 1
+    flat = np.unpackbits(bits.view(np.uint8))
+    out = []
+    for c in (own - 1, own):  # its partner's class is the same or a neighbour: the smaller set's names the pair
+        cut = np.linspace(0, len(flat), min(class_blocks(c, num, den), len(flat)) + 1).astype(np.int64)[:-1]
+        place = mix(np.arange(len(flat), dtype=np.uint64) + np.uint64(0x77))
+        value = np.bitwise_xor.reduceat(np.where(flat, place, np.uint64(0)), cut)
+        out.append(mix(value + mix(np.uint64((c + 1) << 20) + np.arange(len(cut), dtype=np.uint64))))
+    return np.concatenate(out).view(np.int64)
+
+
+def _block_keys(members: DataFrame, num: int, den: int) -> DataFrame:
+    """``(key, id, comp, n, bits)`` with ``key2``, a row for each of ``sketch_blocks``."""
+
+    def run(batches):
+        for batch in batches:
+            n, bits = batch.column("n").to_pylist(), batch.column("bits")
+            with np.errstate(over="ignore"):
+                keys = [sketch_blocks(k, np.asarray(b.values), num, den) for k, b in zip(n, bits, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(keys)], names=[*batch.schema.names, "keys"])
+
+    kind = "key long, id long, comp long, n long, bits array<long>, keys array<long>"
+    return members.select("key", "id", "comp", "n", "bits").mapInArrow(run, kind).select("key", "id", "comp", "n", "bits", F.explode("keys").alias("key2"))
+
+
 def cross_pairs(apart: DataFrame, num: int, den: int, one: DataFrame | None, scratch: Scratch) -> DataFrame:
-    """All pairs that still share a key but no component; given the keys of ``one``, members of a hot key are paired only where they share a greater key too."""
+    """All pairs that still share a key but no component; given the keys of ``one``, members of a hot key are paired only where they share a greater key too, else where they share
+    a block of their bit sketches."""
     hot = scratch.save(apart.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > HOT).select("key"))
     both = apart.withColumn("key2", F.lit(0).cast("long"))
-    if one is not None and not hot.isEmpty():
+    if not hot.isEmpty() and one is None:
+        split = scratch.save(_block_keys(scratch.save(apart.join(hot, "key", "left_semi")), num, den))
+        both = both.join(hot, "key", "left_anti").unionByName(split)
+    elif not hot.isEmpty():
         split = scratch.save(apart.join(hot, "key", "left_semi"))
         ids = scratch.save(split.select("id").distinct())  # written, so that the planner knows its size before it reads all keys
         keys = one.select("id", "keys").join(ids, "id", "left_semi").select("id", F.explode("keys").alias("key2"))

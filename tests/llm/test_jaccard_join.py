@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
@@ -124,3 +126,39 @@ def test_hot_keys_are_split(spark, monkeypatch):
             rows.append((i, " ".join(f"x{rng.randrange(3)}" if k in at else w for k, w in enumerate(form)), "k"))
     got = {tuple(r) for r in jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == brute(rows)
+
+
+def test_blank_row_beside_a_filled_one(spark):
+    rows = [(5, "", "k"), (5, "a b c d e f", "k"), (1, "a b c d e f", "k")]
+    assert sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect())) == [(1, 3, 1), (5, 0, 5), (5, 3, 1)]
+
+
+@pytest.mark.parametrize("n", [5, 6, 9, 12, 20, 45, 120])
+def test_no_key_is_hot_by_chance(n):
+    """Unrelated sets share no key that many of them have, and hardly two of them the same two keys."""
+    rng = np.random.default_rng(n)
+    count, pairs, total = Counter(), Counter(), 20_000 if n < 40 else 4000
+    with np.errstate(over="ignore"):
+        for _ in range(total):
+            keys = np.sort(jaccard_join.parity_keys(np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))))
+            count.update(keys.tolist())
+            if len(keys) < 40:
+                pairs.update((a, b) for i, a in enumerate(keys.tolist()) for b in keys.tolist()[i + 1 :])
+    assert max(count.values(), default=0) <= total * 0.002
+    assert sum(k * (k - 1) // 2 for k in count.values()) <= 2 * total and max(pairs.values(), default=0) <= 3
+
+
+def test_sets_that_link_share_a_part_and_a_block():
+    rng = np.random.default_rng(1)
+    with np.errstate(over="ignore"):
+        for _ in range(3000):
+            num, den, size = (80, 100, int(rng.integers(20, 300))) if rng.random() < 0.5 else (85, 100, int(rng.integers(6, 300)))
+            both = rng.integers(0, 1 << 62, size).astype(np.uint64)
+            lost = int(rng.integers(0, size // 8 + 1))
+            a, b = np.unique(both), np.unique(np.r_[both[lost:], rng.integers(1 << 62, 1 << 63, int(rng.integers(0, size // 8 + 1))).astype(np.uint64)])
+            same = len(np.intersect1d(a, b))
+            if a.tolist() == b.tolist() or den * same < num * (len(a) + len(b) - same):
+                continue
+            assert len(np.intersect1d(jaccard_join.parity_keys(a, num, den), jaccard_join.parity_keys(b, num, den))) >= 2
+            blocks = [jaccard_join.sketch_blocks(len(x), jaccard_join.bit_sketch(x).view(np.int64), num, den) for x in (a, b)]
+            assert len(np.intersect1d(*blocks)) >= 1

@@ -145,3 +145,21 @@ def test_repeated_rows_and_ties(spark):
     got = repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r.doc_id for r in got} == {1, 2, 3} and {r.doc_id for r in got if not r.removed} == {1} and len({r.group_id for r in got}) == 1
     assert all(r.n_copies == len(got) for r in got)
+
+
+def test_hot_bands_are_split(spark, monkeypatch):
+    """Lines of one form that share bands with many and reach the threshold with a few: splitting loses no link of those that the bands bring together."""
+    from newsloom.llm import jaccard_join
+
+    rng = random.Random(21)
+    form = [f"f{k}" for k in range(70)]
+    rows = []
+    for i in range(160):
+        at = set(rng.sample(range(70), rng.choice((1, 2, 4, 6, 9))))
+        rows.append((i, " ".join(f"x{rng.randrange(4)}" if k in at else w for k, w in enumerate(form))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for hot in (10**9, 3):
+        monkeypatch.setattr(jaccard_join, "HOT", hot)
+        found.append(sorted((r.doc_id, r.start, r.end, r.removed) for r in repeated_passages(df).collect()))
+    assert found[0] == found[1] and len(found[0]) > 20
