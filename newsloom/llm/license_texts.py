@@ -1,7 +1,11 @@
-"""Licence texts and notices that licence scans compare with. Long licences are given by their opening sections."""
+"""Licence texts and notices that licence scans compare with. Long licences are files beside this module, whole and as they are published."""
 
 from __future__ import annotations
 
+from pathlib import Path
+
+_FILES = Path(__file__).parent / "license_files"
+
 #: Notices that stand in headers, by licence identifier.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -12,6 +16,11 @@ NOTICES = (
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3"),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("GPL-1.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 1"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2.1"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 3"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License version 3"),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -61,62 +70,24 @@ THIS SOFTWARE.""",
     ("BSD-2-Clause", "Copyright (c) year owner. All rights reserved.\n" + _BSD_HEAD + _BSD_TAIL),
     ("BSD-3-Clause", "Copyright (c) year owner. All rights reserved.\n" + _BSD_HEAD + _BSD_THIRD + _BSD_TAIL),
     (
-        "Apache-2.0",
-        """Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
-1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.
-"Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License. "Legal Entity" shall mean the union of the
-acting entity and all other entities that control, are controlled by, or are under common control with that entity. "You" (or "Your") shall mean an individual
-or Legal Entity exercising permissions granted by this License. "Source" form shall mean the preferred form for making modifications, including but not limited
-to software source code, documentation source, and configuration files. "Object" form shall mean any form resulting from mechanical transformation or
-translation of a Source form. "Work" shall mean the work of authorship, whether in Source or Object form, made available under the License, as indicated by a
-copyright notice that is included in or attached to the work. "Derivative Works" shall mean any work, whether in Source or Object form, that is based on (or
-derived from) the Work. "Contribution" shall mean any work of authorship, including the original version of the Work and any modifications or additions to that
-Work or Derivative Works thereof, that is intentionally submitted to Licensor for inclusion in the Work by the copyright owner. "Contributor" shall mean
-Licensor and any individual or Legal Entity on behalf of whom a Contribution has been received by Licensor and subsequently incorporated within the Work.
-2. Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive,
-no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute
-the Work and such Derivative Works in Source or Object form.
-3. Grant of Patent License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a patent license to make, have made, use,
-offer to sell, sell, import, and otherwise transfer the Work.
-4. Redistribution. You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and in Source or
-Object form, provided that You meet the following conditions: You must give any other recipients of the Work or Derivative Works a copy of this License.""",
-    ),
-    (
-        "GPL-3.0",
-        """GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007. Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute
-verbatim copies of this license document, but changing it is not allowed. Preamble. The GNU General Public License is a free, copyleft license for software and
-other kinds of works. When we speak of free software, we are referring to freedom, not price. Our General Public Licenses are designed to make sure that you have
-the freedom to distribute copies of free software, that you receive source code or can get it if you want it, that you can change the software or use pieces of
-it in new free programs, and that you know you can do these things. TERMS AND CONDITIONS. 0. Definitions. "This License" refers to version 3 of the GNU General
-Public License. "The Program" refers to any copyrightable work licensed under this License. Each licensee is addressed as "you". To "modify" a work means to copy
-from or adapt all or part of the work in a fashion requiring copyright permission. To "propagate" a work means to do anything with it that, without permission,
-would make you liable for infringement under applicable copyright law. To "convey" a work means any kind of propagation that enables other parties to make or
-receive copies. The "Corresponding Source" for a work in object code form means all the source code needed to generate, install, and run the object code and to
-modify the work. You may convey a covered work in object code form under the terms of this License. A "patent license" is any agreement not to enforce a patent.""",
-    ),
-    (
-        "GPL-2.0",
-        """GNU GENERAL PUBLIC LICENSE Version 2, June 1991. Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute
-verbatim copies of this license document, but changing it is not allowed. Preamble. The licenses for most software are designed to take away your freedom to share
-and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software, to make sure the software is
-free for all its users. TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION. This License applies to any program or other work which contains a notice
-placed by the copyright holder saying it may be distributed under the terms of this General Public License. The "Program", below, refers to any such program or
-work, and a "work based on the Program" means either the Program or any derivative work under copyright law. You may copy and distribute verbatim copies of the
-Program's source code as you receive it, in any medium. You may modify your copy or copies of the Program or any portion of it, thus forming a work based on the
-Program, and copy and distribute such modifications or work under the terms of Section 1 above. You are not required to accept this License, since you have not
-signed it. NO WARRANTY. BECAUSE THE PROGRAM IS LICENSED FREE OF CHARGE, THERE IS NO WARRANTY FOR THE PROGRAM, TO THE EXTENT PERMITTED BY APPLICABLE LAW.""",
+        "Zlib",
+        """zlib License. This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely,
+subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a
+product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented
+as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
     ),
     (
-        "MPL-2.0",
-        """Mozilla Public License Version 2.0. 1. Definitions. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or
-owns Covered Software. "Contributor Version" means the combination of the Contributions of others (if any) used by a Contributor and that particular
-Contributor's Contribution. "Covered Software" means Source Code Form to which the initial Contributor has attached the notice in Exhibit A, the Executable Form
-of such Source Code Form, and Modifications of such Source Code Form, in each case including portions thereof. "Executable Form" means any form of the work other
-than Source Code Form. "Larger Work" means a work that combines Covered Software with other material, in a separate file or files, that is not Covered Software.
-"Secondary License" means either the GNU General Public License, Version 2.0, or any later versions. "Source Code Form" means the form of the work preferred for
-making modifications. 2. License Grants and Conditions. Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license under intellectual
-property rights (other than patent or trademark) Licensable by such Contributor. 3. Responsibilities. All distribution of Covered Software in Source Code Form,
-including any Modifications that You create or to which You contribute, must be under the terms of this License. You must inform recipients that the Source Code
-Form of the Covered Software is governed by the terms of this License, and how they can obtain a copy of this License.""",
+        "Unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software,
+either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of
+this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS",
+WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE.""",
     ),
+    *((f.stem, f.read_text(encoding="utf-8")) for f in sorted(_FILES.glob("*.txt"))),
+    # The Affero licence is the GPL under its own name but for its preamble and section 13.
+    ("AGPL-3.0", (_FILES / "GPL-3.0.txt").read_text(encoding="utf-8").replace("GNU General Public License", "GNU Affero General Public License").replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE")),
 )

@@ -25,8 +25,8 @@ from newsloom.scratch import Scratch
 
 TEMPLATES = NOTICES
 THRESHOLD = 0.6
-#: A file that is nothing but a notice, and one that is a licence's text, of which the template may be the opening only.
-FILE_THRESHOLD, TEXT_THRESHOLD = 0.85, 0.72
+#: A file that is nothing but a notice, and one that is a licence's text; of several near relatives the nearest counts.
+FILE_THRESHOLD, TEXT_THRESHOLD = 0.85, 0.85
 HEADER_LINES = 3
 #: Bounds of what is broadcast: different terms, and terms of all templates together.
 MAX_TERMS, MAX_VECTORS = 20_000, 200_000
