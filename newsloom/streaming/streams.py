@@ -78,15 +78,15 @@ class Parts:
         return [(v, kind) for v, kind in done if below is None or v < below]
 
     def last(self, below: int | None = None) -> int:
-        """The last batch that is held together with those before it."""
+        """The last batch that is held together with those before it; what a table holds before its first batch is batch -1."""
         return max((v for v, kind in self._held(below) if kind == "c"), default=-1)
 
-    def names(self, below: int | None = None, after: int = -1) -> list[str]:
+    def names(self, below: int | None = None, after: int | None = None) -> list[str]:
         """Folders that together are the table before batch ``below``, or what came to it after batch ``after``."""
         last = self.last(below)
-        return [f"{kind}{v}" for v, kind in self._held(below) if v > after and (v > last if kind == "v" else v == last)]
+        return [f"{kind}{v}" for v, kind in self._held(below) if (after is None or v > after) and (v > last if kind == "v" else v == last)]
 
-    def read(self, schema, below: int | None = None, after: int = -1) -> DataFrame:
+    def read(self, schema, below: int | None = None, after: int | None = None) -> DataFrame:
         paths = [f"{self.path}/{n}" for n in self.names(below, after)]
         if not paths:
             return self.spark.createDataFrame([], schema)
