@@ -32,8 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if twice.isEmpty():  # ids are unique, as a rule
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     gone = scratch.save(gone)
-    columns = ["text", *(c for c in docs.columns if c != "text")]
-    least = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    row = F.struct(*docs.columns)
+    least = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row")).select("row.*")  # JSON orders columns of any type
     rest = docs.join(twice, "doc_id", "left_anti").unionByName(least)
     return rest.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -47,8 +47,10 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; n_chars follows the text. Every row stays, whatever its id; a null text stays null and keeps its n_chars."""
+    """Personal data is replaced by its kind; n_chars, where there is one, follows the text. Every row stays, whatever its id; a null text stays null and keeps its n_chars."""
     clean = pii.redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean.select(*docs.columns)
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(*docs.columns)
 
 
