@@ -3,6 +3,7 @@ import math
 import random
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -279,6 +280,36 @@ def test_dispatch_is_the_loop(spark, seed):
     assert marked == {i for i, o in want.items() if o in ("sent", "cluster_dedup")} - {3, 4} or marked | {4} == {i for i, o in want.items() if o in ("sent", "cluster_dedup")} | {4}
 
 
+def test_large_cap_ranks_leaders_without_one_task(spark, monkeypatch):
+    rows = [{"first_seen_at": AGO(minutes=i % 50), "cluster_rep_id": i % 9 if i % 2 else None, "raw_data": '{"x": {"breaking": true}}', "cluster_size": 1} for i in range(60)]
+    ledger = spark.createDataFrame([("sent", 1, NOW), ("sent", 2, AGO(hours=2)), ("article", 5, AGO(days=29)), ("article", 6, AGO(days=31)), ("cluster", 3, AGO(hours=25)), ("cluster", 5, AGO(hours=3))], schema.LEDGER)
+    found = []
+    for small in (10_000, 1):
+        monkeypatch.setattr(AL, "SMALL_CAP", small)
+        out, after = AL.dispatch_alerts(articles(spark, *rows), ledger, as_of(), 20)
+        found.append(({(r.id, r.outcome) for r in out.collect()}, {tuple(r) for r in after.collect()}))
+    assert found[0] == found[1] and sum(o == "sent" for _, o in found[0][0]) == 19
+    assert ("article", 5, AGO(days=29)) in found[0][1]
+    assert ("article", 6, AGO(days=31)) not in found[0][1] and ("cluster", 3, AGO(hours=25)) not in found[0][1] and ("sent", 2, AGO(hours=2)) not in found[0][1]
+
+
+def test_index_forms_few_pairs():
+    shares = [(lambda bits, bands: bands / 2**bits)(*C.index_shape(n, 0.8, 500, 0.97)) for n in (20_000, 100_000, 10**6, 10**8)]
+    assert shares[1] <= 0.1 and shares == sorted(shares, reverse=True) and shares[3] < 0.005
+
+
+def test_index_by_default_finds_what_comparing_all_does(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 24))
+    rows = [(i, [float(x) for x in centres[i % 40] + rng.normal(size=24) * 0.35]) for i in range(1200)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>")
+    exact = {(r.a_id, r.b_id) for r in C.similar_pairs(v, 0.8, C.ClusterParams(knn=2000, block_rows=400)).collect()}
+    monkeypatch.setattr(C, "INDEX_FROM", 1000)
+    found = {(r.a_id, r.b_id) for r in C.similar_pairs(v, 0.8, C.ClusterParams(knn=2000, block_rows=400)).collect()}
+    asked = {(r.a_id, r.b_id) for r in C.similar_pairs(v, 0.8, C.ClusterParams(knn=2000, block_rows=400, indexed=False)).collect()}
+    assert asked == exact and found <= exact and len(found) >= 0.95 * len(exact) > 1000
+
+
 def test_payload(spark):
     import json
 
