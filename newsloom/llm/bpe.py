@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.shingles import give_back
+
 #: Fixed value: the pattern that the vocabulary was made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHORT = 64
@@ -279,7 +281,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
 
     @F.pandas_udf("binary")
     def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series(vocabulary(path).encode_all(texts, kept_words), dtype=object)
+        out = pd.Series(vocabulary(path).encode_all(texts, kept_words), dtype=object)
+        give_back()
+        return out
 
     return docs.withColumn(out_col, ids(F.col(text_col).cast("string")))
 

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.shingles import give_back
+
 #: Bounds of the training sample: documents a language, code points of a piece, pieces a language.
 SAMPLE_PER_LANG = 400
 PIECE_CHARS = 300
@@ -202,6 +204,7 @@ def predict(docs: DataFrame, model: LangModel, text_col: str = "text", out_col:
         prob = softmax(logits)
         best = prob.argmax(axis=1)
         lang = np.where(has, np.array(model.langs, dtype=object)[best], UNKNOWN)
+        give_back()
         return pd.DataFrame({"lang": lang, "score": np.where(has, prob[np.arange(len(best)), best], 0.0)})
 
     return docs.withColumn(out_col, scored(F.col(text_col).cast("string")))

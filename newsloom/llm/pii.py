@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.shingles import give_back
+
 #: Fixed values of the query's contract.
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -130,7 +132,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact_text(t, find_spans(t)) for t in texts], dtype=object)
+        out = pd.Series([redact_text(t, find_spans(t)) for t in texts], dtype=object)
+        give_back()
+        return out
 
     return docs.withColumn(text_col, clean(F.col(text_col).cast("string")))
 

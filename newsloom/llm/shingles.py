@@ -6,6 +6,7 @@ Words are the runs of bytes other than the six ASCII white-space characters; A-Z
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,15 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def give_back() -> None:
+    """Returns freed memory of a worker to the system after a batch. Workers outlive their tasks, and what they keep would count against the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of unsigned 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -115,3 +125,4 @@ def text_shingles(texts: pa.Array, k: int) -> Iterator[tuple[int, int, list[np.n
         for a, b in blocks(texts):
             part = [x or b"" for x in texts[a:b].cast(pa.binary()).to_pylist()]
             yield a, b, shingle_hashes(*word_hashes(part), k), part
+    give_back()
