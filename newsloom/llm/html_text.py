@@ -3,10 +3,10 @@
 A page is a sequence of words and tags. Words score by where they stand, tags score below zero; the contiguous run with the greatest sum, found by one scan, is the content.
 Sums are taken of each element too: those whose words sum up below zero, such as an advert or reader comments in the middle of an article, are left out.
 
-The scores are log-odds from labelled pages: those that mark their article by an ``article`` or ``main`` element, up to ``SAMPLE_PAGES`` of them, with every word counted inside
+The scores are log-odds from labelled pages: those that mark their article by an ``article`` or ``main`` element, up to ``SAMPLE_PAGES`` of them, with all text counted inside
 or outside. A word's score is that of its block's element, or less where one of the classes, ids, roles or sections that it lies in scores less, and that of the
 block's shape: its length and whether it is links, which is all that is known of classes that no labelled page had. An element with an unknown class counts ``UNKNOWN_CLASS`` of the element's score.
-What HTML defines as no article text, and plain names of such parts, start with ``PRIOR_WORDS`` words counted outside; labelled pages outweigh them. Only elements that are never shown are left out by rule.
+What HTML defines as no article text, and plain names of such parts, start with ``PRIOR_COUNT`` counted outside; labelled pages outweigh them. Only elements that are never shown are left out by rule.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_PAGES = 400
 LABEL_LIMIT, SHAPE_LIMIT, TAG_BASE, TAG_LIMIT = 4.0, 2.0, 0.3, 1.0
-BASE, UNKNOWN_CLASS, PRIOR_WORDS, SEEN_WORDS, GAP = 0.5, 0.4, 400, 5, 3.0
+BASE, UNKNOWN_CLASS, PRIOR_COUNT, SEEN, GAP = 0.5, 0.4, 400, 5, 0.5
 
 #: Kinds of HTML elements.
 RAW = "script style textarea title noscript template iframe svg"
@@ -147,14 +147,14 @@ def block_keys(words: int, element: Element, linked: bool) -> tuple[str, str, st
 
 
 def tally(html: str) -> tuple[Counter, Counter]:
-    """Words and tags by key, inside and outside the page's marked article; a page without one gives none."""
+    """Blocks by key, each by the number of binary digits of its words, and tags, inside and outside the page's marked article; a page without one gives none."""
     inside, outside = Counter(), Counter()
     parts = tokens(html)
     if any(e.name in ("article", "main") for kind, e, _ in parts if kind == "<"):
         for _, n, element, linked in shown_blocks(parts):
             into = inside if element.article else outside
             for key in {*block_keys(n, element, linked), *element.keys, "all"}:
-                into[key] += n
+                into[key] += n.bit_length()  # so that no page of very long blocks outweighs the others
         for kind, element, _ in parts:
             if kind != "w" and not element.hidden:
                 (inside if element.article else outside)["t" + element.name] += 1
@@ -162,12 +162,12 @@ def tally(html: str) -> tuple[Counter, Counter]:
 
 
 def scores(inside: dict[str, int], outside: dict[str, int]) -> dict[str, float]:
-    """Scores by key from counts inside and outside articles. A key that isn't there was met in fewer than ``SEEN_WORDS`` words."""
+    """Scores by key from counts inside and outside articles. A key that isn't there was counted less than ``SEEN`` times."""
     outside = Counter(outside)
     for name in PRIOR.split():
-        outside[f".{name}"] += PRIOR_WORDS
+        outside[f".{name}"] += PRIOR_COUNT
     for name in _SECTIONS - {"article", "main"}:
-        outside[f"#{name}"] += PRIOR_WORDS
+        outside[f"#{name}"] += PRIOR_COUNT
     within = lambda x, most: max(-most, min(most, x))
     all_in, all_out = inside.get("all", 0) + 1, outside.get("all", 0) + 1
     score = {}
@@ -177,7 +177,7 @@ def scores(inside: dict[str, int], outside: dict[str, int]) -> dict[str, float]:
             score[key] = within(min(0.0, math.log(a / b)), TAG_LIMIT) - TAG_BASE
         elif key[0] == "s":
             score[key] = within(math.log(a / all_in * all_out / b), SHAPE_LIMIT)
-        elif key != "all" and a + b > SEEN_WORDS:
+        elif key != "all" and a + b > SEEN:
             score[key] = within(math.log(a / b), LABEL_LIMIT)
     return score
 
