@@ -299,10 +299,25 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
     return df.withColumn(out_col, text(F.col(ids_col)))
 
 
+def encode_decode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded", kept_words: int = KEPT_WORDS) -> DataFrame:
+    """Adds what ``encode`` and then ``decode`` add. One function gives both: of two chained ones Spark would run the first twice, once for its own column and once for the other's."""
+
+    @F.pandas_udf("ids binary, decoded string")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        bpe = vocabulary(path)
+        ids = bpe.encode_all(texts, kept_words)
+        out = pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([bpe.decode(x) for x in ids], dtype=object)})
+        give_back()
+        return out
+
+    made = both(F.col(text_col).cast("string"))
+    return docs.withColumns({ids_col: made["ids"], out_col: made["decoded"]})
+
+
 def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: number of tokens, and digests of the packed ids and of the text decoded from them."""
     df = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    df = decode(encode(df, path, "text", "ids").drop("text"), path)
+    df = encode_decode(df, path).drop("text")
     return df.select(
         id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

@@ -1,11 +1,12 @@
 import hashlib
 import os
 import random
+import re
 
 import numpy as np
 import public_tokenizers
 
-from newsloom.llm.bpe import ByteBpe, segments, token_digests
+from newsloom.llm.bpe import ByteBpe, decode, encode, encode_decode, segments, token_digests
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,3 +60,11 @@ def test_rows(spark):
     assert got[2].n_tokens == got[3].n_tokens == 0 and got[2].decoded_sha256 == hashlib.sha256(b"").hexdigest()
     assert got[None].decoded_sha256 == hashlib.sha256("é".encode()).hexdigest()
     assert token_digests(df.limit(0), PATH).collect() == []
+
+
+def test_each_text_is_encoded_once(spark):
+    df = spark.createDataFrame([(1, "Hello you"), (2, None), (3, "é 中 <|endoftext|>")], "doc_id long, text string")
+    plan = token_digests(df, PATH)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(set(re.findall(r"pythonUDF\d+", plan))) == 1  # one call a row; a decode chained to an encode was a second one, with an encode of its own
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    assert rows(encode_decode(df.na.fill(""), PATH)) == rows(decode(encode(df.na.fill(""), PATH), PATH))
