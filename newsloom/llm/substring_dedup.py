@@ -256,6 +256,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     both = near.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(near.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
     root = node.select(F.col("id").alias("root"), F.col("print").alias("c1"), F.col("print2").alias("c2"))
     mapped = scratch.save(node.join(both, "id").join(root, "root").select("print", "print2", "c1", "c2"))
+    for used in (one, near):
+        scratch.drop(used)
     # documents of each print, counted once; only repeated or near ones go on, and these are told apart by both hashes
     spread = units.groupBy("print").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("print")
     repeated = scratch.save(spread.union(mapped.select("print")).distinct())
