@@ -456,3 +456,21 @@ def test_indexed_edges_against_exact_ones(spark):
     assert len(exact) > 5000 and len(got.keys() & exact.keys()) / len(exact) >= 0.95
     assert max(sum(1 for x, _ in got if x == a) for a, _ in got) <= 30 and all(s >= 0.8 - 1e-9 for s in got.values())
     assert C.knn_edges_indexed(v.limit(0), 0.8).collect() == []
+
+
+def copies_of_a_vector():
+    """Rows (id, vector) in no order, and the pairs of each of the copies with the five next ones."""
+    rng = np.random.default_rng(3)
+    one = rng.normal(size=64)
+    rows = [(i, [float(x) for x in (one if i % 3 else rng.normal(size=64)).astype(np.float32)]) for i in range(400)]
+    random.Random(5).shuffle(rows)
+    copies = [i for i in range(400) if i % 3]
+    return rows, {(a, b) for n, a in enumerate(copies) for b in copies[n + 1 : n + 6]}
+
+
+def test_copies_of_a_vector_are_equally_similar(spark):
+    """Of more copies than k the smallest ids are the nearest, wherever they stand in a block."""
+    rows, want = copies_of_a_vector()
+    v = spark.createDataFrame(rows, "id long, embedding array<float>")
+    for edges in (C.knn_edges(v, 0.8, 5, 90), C.knn_edges_indexed(v, 0.8, 5, 60)):
+        assert {(r.a_id, r.b_id) for r in edges.collect()} == want
