@@ -474,3 +474,13 @@ def test_copies_of_a_vector_are_equally_similar(spark):
     v = spark.createDataFrame(rows, "id long, embedding array<float>")
     for edges in (C.knn_edges(v, 0.8, 5, 90), C.knn_edges_indexed(v, 0.8, 5, 60)):
         assert {(r.a_id, r.b_id) for r in edges.collect()} == want
+
+
+def test_reject_counts_of_copies(spark):
+    """The number of conflicts is that of the nearest pairs in the order that SQL gives copies."""
+    rows, want = copies_of_a_vector()
+    kind = "id long, embedding array<float>, title string, summary string, ai_summary string, language string, tickers array<string>"
+    a = spark.createDataFrame([(i, v, "t", "s", None, "en", ["A" if i < 200 else "B"]) for i, v in rows], kind)
+    loose = C.ClusterParams(min_overlap=0, min_ratio=0.0, min_body_jaccard=0.0)
+    got = C.edge_reject_counts(C.edge_verdicts(C.knn_edges(a, 0.8, 5, 90), a, loose)).collect()
+    assert [tuple(r) for r in got] == [("ticker_conflict", sum((a < 200) != (b < 200) for a, b in want))]
