@@ -95,3 +95,13 @@ def test_payload_fields_of_text_and_variant(spark):
         assert out == {1: (True, 5), 2: (True, None), 3: (False, 7), 4: (False, None), 5: (False, None), 6: (False, None), 7: (False, None)}
     schema = payload_schema(raw_to_variant(df.where("id < 3"), "raw_data")).first().schema
     assert "breaking: BOOLEAN" in schema and "category: STRING" in schema
+
+
+def test_a_cut_reference_of_a_page_stays(spark):
+    """Text, length and title are of the body with only ended references decoded, as in SQL."""
+    html = "<html lang='en'><h1>A heading of some length &amp</h1><p>and a text that goes on, here &amp; there</p></html>"
+    row = dict.fromkeys(schema.PAGE.fieldNames()) | {"url": "u", "html": html, "http_status": 200}
+    page = spark.createDataFrame([tuple(row[f] for f in schema.PAGE.fieldNames())], schema.PAGE)
+    r = R.ingest_pages(page, F.lit("2024-01-31 12:00:00").cast("timestamp")).first()
+    body = "A heading of some length &amp\nand a text that goes on, here & there"
+    assert (r.status, r.summary, r.extracted_len, r.title) == ("ok", body, len(body), "A heading of some length &amp")
