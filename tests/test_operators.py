@@ -484,3 +484,24 @@ def test_reject_counts_of_copies(spark):
     loose = C.ClusterParams(min_overlap=0, min_ratio=0.0, min_body_jaccard=0.0)
     got = C.edge_reject_counts(C.edge_verdicts(C.knn_edges(a, 0.8, 5, 90), a, loose)).collect()
     assert [tuple(r) for r in got] == [("ticker_conflict", sum((a < 200) != (b < 200) for a, b in want))]
+
+
+@pytest.mark.parametrize("n", [600, 640])
+def test_index_in_rounds(spark, monkeypatch, n):
+    """Where its copies are too many, the index goes band by band or compares all pairs; both write each vector a few times a round and find what one round does."""
+    rng = np.random.default_rng(n)
+    centres = rng.normal(size=(30, 16))
+    vectors = [centres[i % 30] + rng.normal(size=16) * (0.3 if i % 5 else 0) for i in range(n)]  # each fifth is a copy of its centre
+    v = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(vectors)], "id long, embedding array<float>").localCheckpoint()
+    pairs = lambda df: {(r.a_id, r.b_id): r.sim for r in df.collect()}
+    exact, whole = pairs(C.knn_edges(v, 0.8, 5)), pairs(C.knn_edges_indexed(v, 0.8, 5, 60))
+    made, dealt = C._products, []
+    monkeypatch.setattr(C, "_products", lambda d, *rest: dealt.append(d.count()) or made(d, *rest))
+    monkeypatch.setattr(C, "ROUND_BYTES", 1, raising=False)
+    monkeypatch.setattr(C, "LEAST_ROWS", 40, raising=False)
+    assert pairs(C.knn_edges_indexed(v, 0.8, 5, 60)) == exact and len(exact) > 2000
+    assert len(dealt) == -(-n // 40) // 2 + 1 and max(dealt) <= 2 * n and sum(dealt) == -(-n // 40) * n
+    monkeypatch.setattr(C, "WORTH", 9, raising=False)
+    dealt.clear()
+    assert pairs(C.knn_edges_indexed(v, 0.8, 5, 60)) == whole
+    assert len(dealt) > 2 and max(dealt) <= 4 * n
